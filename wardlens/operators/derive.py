@@ -168,3 +168,17 @@ def readmission_band(gap_seconds, aligned: bool = False,
         return cut(days, list(edges_days[1:]), list(labels), default)
     labs = list(labels) + [default]
     return cut(days, list(edges_days), labs, default)
+
+
+# Charlson age points, (lower exclusive, upper inclusive, points).
+CHARLSON_AGE_POINTS = [(50, 59, 1), (60, 69, 2), (70, 79, 3), (79, None, 4)]
+
+
+def charlson_age_points(age) -> Column:
+    """Age component of the Charlson index (ages 60 and 70 score 0, as listed)."""
+    a = _c(age)
+    expr = None
+    for lo, hi, pts in CHARLSON_AGE_POINTS:
+        cond = a > lo if hi is None else (a > lo) & (a <= hi)
+        expr = F.when(cond, F.lit(pts)) if expr is None else expr.when(cond, F.lit(pts))
+    return expr.otherwise(F.lit(0))

@@ -262,3 +262,55 @@ SQL["complaints"] = """select p_partkey item_id,
       when p_partkey % 8 = 3 then 'Eyes' when p_partkey % 8 = 4 then null when p_partkey % 8 = 5 then 'SELF HARM'
       else upper(p_brand) end patient_group
  from part"""
+
+
+# Comorbidity and chapter look-ups (constant size, built from ranges).
+# Charlson comorbidity names and weights.
+CHARLSON_WEIGHTS = {
+    "myocardial_infarction": 1, "congestive_heart_failure": 1, "periphral_vascular_disease": 1,
+    "cerebrovascular_disease": 1, "dementia": 1, "chronic_pulmonary_disease": 1,
+    "connective_tissue_disease_rheumatic_disease": 1, "peptic_ulcer_disease": 1,
+    "mild_liver_disease": 1, "diabetes_wo_complications": 1, "diabetes_w_complications": 2,
+    "paraplegia_and_hemiplegia": 2, "renal_disease": 2, "cancer": 2,
+    "moderate_or_sever_liver_disease": 3, "metastitic_carcinoma": 6, "aids_hiv": 6,
+}
+_CONDITIONS = list(CHARLSON_WEIGHTS)
+
+
+def ref_comorbid(spark: SparkSession) -> DataFrame:
+    """3-character code -> comorbidity name (every 9th (i*7+n) combination)."""
+    r = spark.range(2600).select((F.col("id") / 100).cast("int").alias("i"), (F.col("id") % 100).alias("n"))
+    r = r.where((F.col("i") * 7 + F.col("n")) % 9 == 0)
+    names = F.array(*[F.lit(c) for c in _CONDITIONS])
+    return r.select(F.concat(F.char(F.lit(65) + F.col("i")), F.lpad(F.col("n").cast("string"), 2, "0")).alias("code3"),
+                    F.element_at(names, ((F.col("i") + F.col("n")) % len(_CONDITIONS) + 1).cast("int")).alias("condition"))
+
+
+def ref_chapters(spark: SparkSession) -> DataFrame:
+    """3-character code -> chapter number/description, group code/description, code description."""
+    r = spark.range(2600).select((F.col("id") / 100).cast("int").alias("i"), (F.col("id") % 100).alias("n"))
+    r = r.where((F.col("i") + F.col("n")) % 3 != 0)
+    letter = F.char(F.lit(65) + F.col("i"))
+    code3 = F.concat(letter, F.lpad(F.col("n").cast("string"), 2, "0"))
+    grp = F.concat(letter, (F.col("n") / 10).cast("int").cast("string"))
+    return r.select(code3.alias("code3"), (F.col("i") % 22 + 1).cast("int").alias("chapter_no"),
+                    F.concat(F.lit("chapter "), (F.col("i") % 22 + 1).cast("string")).alias("chapter_desc"),
+                    grp.alias("group_code"), F.concat(F.lit("group "), grp).alias("group_desc"),
+                    F.concat(F.lit("three "), code3).alias("code3_desc"))
+
+
+def charlson_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(CHARLSON_WEIGHTS.items()), "condition string, weight int")
+
+
+SQL["ref_comorbid"] = ("select concat(chr(cast(65 + i as int)), lpad(cast(n as varchar), 2, '0')) code3, "
+                       "(['" + "', '".join(_CONDITIONS) + "'])[cast((i + n) % " + str(len(_CONDITIONS)) + " + 1 as int)] condition "
+                       "from range(26) t(i) cross join range(100) u(n) where (i * 7 + n) % 9 = 0")
+SQL["ref_chapters"] = """select concat(chr(cast(65 + i as int)), lpad(cast(n as varchar), 2, '0')) code3,
+ cast(i % 22 + 1 as int) chapter_no, concat('chapter ', cast(i % 22 + 1 as varchar)) chapter_desc,
+ concat(chr(cast(65 + i as int)), cast(cast(floor(n / 10) as int) as varchar)) group_code,
+ concat('group ', chr(cast(65 + i as int)), cast(cast(floor(n / 10) as int) as varchar)) group_desc,
+ concat('three ', chr(cast(65 + i as int)), lpad(cast(n as varchar), 2, '0')) code3_desc
+ from range(26) t(i) cross join range(100) u(n) where (i + n) % 3 <> 0"""
+SQL["charlson_weights"] = "select * from (values " + ", ".join(
+    f"('{k}', {w})" for k, w in CHARLSON_WEIGHTS.items()) + ") t(condition, weight)"
