@@ -7,6 +7,7 @@ def load_catalogue():
         q_columns,
         q_lookup,
         q_outcomes,
+        q_profile,
     )
     from wardlens.plans.registry import ORACLE, QUERIES
     return QUERIES, ORACLE
