@@ -113,18 +113,26 @@ def fit_top_levels(df: DataFrame, col: str, n: int) -> list[str]:
     return [r[0] for r in rows]
 
 
-def repair_device(df: DataFrame, device: str, assisted: str, levels: Sequence[str],
-                  air: str = "A - Air", other: str = "Other") -> DataFrame:
-    """Device levels: 'other; nhf...' -> NHF, outside the kept levels -> Other;
-    a real device implies assisted breathing; assisted with air/no device -> Other.
-    ``levels`` are the top levels fitted on the NHF-merged column."""
+def device_consistency(df: DataFrame, device: str, assisted: str, air: str = "A - Air",
+                       other: str = "Other") -> DataFrame:
+    """A real device (not air) implies assisted breathing; assisted breathing with
+    air or no device recorded reads as 'Other'. A missing flag reads as false."""
     d = F.col(device)
-    d1 = F.when(F.coalesce(F.lower(d).startswith("other; nhf"), F.lit(False)), F.lit("NHF")).otherwise(d)
-    d2 = F.when(d1.isNotNull() & ~d1.isin(list(levels)), F.lit(other)).otherwise(d1)
     a0 = F.coalesce(F.col(assisted), F.lit(False))
-    a1 = F.when(d2.isNotNull() & (d2 != F.lit(air)) & ~a0, F.lit(True)).otherwise(F.col(assisted))
-    d3 = F.when(F.coalesce(a1, F.lit(False)) & ((d2 == F.lit(air)) | d2.isNull()), F.lit(other)).otherwise(d2)
-    return df.withColumns({device: d3, assisted: a1})
+    a1 = F.when(d.isNotNull() & (d != F.lit(air)) & ~a0, F.lit(True)).otherwise(F.col(assisted))
+    d1 = F.when(F.coalesce(a1, F.lit(False)) & F.coalesce((d == F.lit(air)) | d.isNull(), F.lit(False)),
+                F.lit(other)).otherwise(d)
+    return df.withColumns({device: d1, assisted: a1})
+
+
+def repair_device(df: DataFrame, device: str, assisted: str, n: int = 16,
+                  levels: Sequence[str] | None = None, other: str = "Other") -> DataFrame:
+    """Device levels: 'other; nhf...' -> NHF, values outside the ``n`` most frequent
+    (fitted after the NHF merge, or the stored ``levels``) -> Other, then the
+    device/assisted consistency rules."""
+    merged = df.withColumn(device, nhf_merged(device))
+    kept = topn_keep(merged, device, n, sentinel=other, levels=levels)
+    return device_consistency(kept, device, assisted, other=other)
 
 
 def nhf_merged(device: str):

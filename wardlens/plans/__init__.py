@@ -4,6 +4,7 @@
 def load_catalogue():
     """Import every query module so the registry is filled; return (queries, oracle)."""
     from wardlens.plans import (  # noqa: F401
+        q_clean,
         q_columns,
         q_lookup,
         q_outcomes,
