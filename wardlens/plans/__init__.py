@@ -7,6 +7,7 @@ def load_catalogue():
         q_clean,
         q_columns,
         q_lookup,
+        q_model,
         q_outcomes,
         q_profile,
     )
