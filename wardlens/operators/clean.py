@@ -36,68 +36,66 @@ def recompute_total(df: DataFrame, parts: Sequence[str], total: str) -> DataFram
     return df.withColumn(total, F.when(fix, s).otherwise(t))
 
 
+def _backfill(df: DataFrame, value: str, score: str, cleaned, to_value, to_score) -> DataFrame:
+    """Write the cleaned reading to a helper column first, then let reading and
+    score fill each other. Staging keeps later steps referring to a column
+    instead of re-inlining the cleaning expression at every use."""
+    staged = df.withColumn("_clean", cleaned)
+    v, sc = F.col("_clean"), F.col(score)
+    return staged.withColumns({
+        value: F.when(v.isNull() & sc.isNotNull(), to_value(sc)).otherwise(v),
+        score: F.when(sc.isNull() & v.isNotNull(), to_score(v)).otherwise(sc),
+    }).drop("_clean")
+
+
 def repair_bp(df: DataFrame, sys: str, dia: str, score: str) -> DataFrame:
     """Signs fixed; diastolic outside (20, 200) and systolic outside (40, 300) or
     not above diastolic + 5 deleted; then score and reading fill each other."""
-    d = rp.clip_sentinel(rp.invert_negatives(dia), 20, 200)
-    s0 = rp.invert_negatives(sys)
-    s = F.when(F.coalesce((s0 <= 40) | (s0 >= 300) | (s0 <= d + 5), F.lit(False)), F.lit(None)).otherwise(s0)
-    sc = F.col(score)
-    return df.withColumns({
-        dia: d,
-        sys: F.when(s.isNull() & sc.isNotNull(), nw.systolic_value(sc)).otherwise(s),
-        score: F.when(sc.isNull() & s.isNotNull(), nw.systolic_score(s)).otherwise(sc),
-    })
+    staged = df.withColumns({dia: rp.clip_sentinel(rp.invert_negatives(dia), 20, 200),
+                             "_s0": rp.invert_negatives(sys)})
+    s0, d = F.col("_s0"), F.col(dia)
+    bad = F.coalesce((s0 <= 40) | (s0 >= 300) | (s0 <= d + 5), F.lit(False))
+    cleaned = F.when(bad, F.lit(None)).otherwise(s0)
+    return _backfill(staged, sys, score, cleaned, nw.systolic_value, nw.systolic_score).drop("_s0")
 
 
 def repair_resp(df: DataFrame, rate: str, score: str) -> DataFrame:
     """Sign fixed, triple digits floor-divided by 10, outside (5, 80) deleted, then
     back-fill both ways."""
-    r = rp.clip_sentinel(rp.shift_triple(rp.invert_negatives(rate), integer=True), 5, 80)
-    sc = F.col(score)
-    return df.withColumns({
-        rate: F.when(r.isNull() & sc.isNotNull(), nw.respiration_value(sc)).otherwise(r),
-        score: F.when(sc.isNull() & r.isNotNull(), nw.respiration_score(r)).otherwise(sc),
-    })
+    staged = df.withColumn("_r1", rp.shift_triple(rp.invert_negatives(rate), integer=True))
+    cleaned = rp.clip_sentinel("_r1", 5, 80)
+    return _backfill(staged, rate, score, cleaned, nw.respiration_value, nw.respiration_score).drop("_r1")
 
 
 def repair_temp(df: DataFrame, value: str, score: str) -> DataFrame:
     """Outside [25, 45] deleted (negative readings thus become null), then back-fill."""
-    v = rp.clip_sentinel(value, 25, 45, inclusive=False)
-    sc = F.col(score)
-    return df.withColumns({
-        value: F.when(v.isNull() & sc.isNotNull(), nw.temperature_value(sc)).otherwise(v),
-        score: F.when(sc.isNull() & v.isNotNull(), nw.temperature_score(v)).otherwise(sc),
-    })
+    return _backfill(df, value, score, rp.clip_sentinel(value, 25, 45, inclusive=False),
+                     nw.temperature_value, nw.temperature_score)
 
 
 def repair_hr(df: DataFrame, value: str, score: str) -> DataFrame:
-    v = rp.clip_sentinel(value, 25, 300, inclusive=False)
-    sc = F.col(score)
-    return df.withColumns({
-        value: F.when(v.isNull() & sc.isNotNull(), nw.heart_rate_value(sc)).otherwise(v),
-        score: F.when(sc.isNull() & v.isNotNull(), nw.heart_rate_score(v)).otherwise(sc),
-    })
+    return _backfill(df, value, score, rp.clip_sentinel(value, 25, 300, inclusive=False),
+                     nw.heart_rate_value, nw.heart_rate_score)
 
 
 def repair_flag_score(df: DataFrame, flag: str, score: str, true_score: float, false_score: float,
                       invalid: float = 1.0) -> DataFrame:
     """Flag <-> score: an impossible score is deleted, a missing score is filled
     from the flag, then the flag is re-derived from the score (the score wins)."""
-    sc0 = F.when(F.col(score) == F.lit(invalid), F.lit(None)).otherwise(F.col(score))
-    fl = F.col(flag)
-    sc = F.when(sc0.isNull() & fl.isNotNull(),
-                F.when(fl, F.lit(true_score)).otherwise(F.lit(false_score))).otherwise(sc0)
-    new_flag = F.when(sc == F.lit(true_score), F.lit(True)).when(sc == F.lit(false_score), F.lit(False))
-    return df.withColumns({score: sc, flag: new_flag})
+    staged = df.withColumn("_sc0", F.when(F.col(score) == F.lit(invalid), F.lit(None)).otherwise(F.col(score)))
+    sc0, fl = F.col("_sc0"), F.col(flag)
+    staged = staged.withColumn(score, F.when(sc0.isNull() & fl.isNotNull(),
+                                             F.when(fl, F.lit(true_score)).otherwise(F.lit(false_score))).otherwise(sc0))
+    sc = F.col(score)
+    return staged.withColumn(flag, F.when(sc == F.lit(true_score), F.lit(True))
+                             .when(sc == F.lit(false_score), F.lit(False))).drop("_sc0")
 
 
 def repair_consciousness(df: DataFrame, alert: str, score: str) -> DataFrame:
-    """Alert True <-> score 0, False <-> 3."""
-    sc0 = F.when(F.col(score) == 1.0, F.lit(None)).otherwise(F.col(score))
-    a = F.col(alert)
-    sc = F.when(sc0.isNull() & a.isNotNull(), F.when(a, F.lit(0.0)).otherwise(F.lit(3.0))).otherwise(sc0)
-    return df.withColumns({score: sc, alert: F.when(sc == 3.0, F.lit(False)).when(sc == 0.0, F.lit(True))})
+    """Not alert <-> score 3, alert <-> 0 (stored as the alert flag)."""
+    staged = df.withColumn("_not_alert", ~F.col(alert))
+    out = repair_flag_score(staged, "_not_alert", score, 3.0, 0.0)
+    return out.withColumn(alert, ~F.col("_not_alert")).drop("_not_alert")
 
 
 def repair_device_air(df: DataFrame, assisted: str, score: str) -> DataFrame:
@@ -119,10 +117,10 @@ def device_consistency(df: DataFrame, device: str, assisted: str, air: str = "A
     air or no device recorded reads as 'Other'. A missing flag reads as false."""
     d = F.col(device)
     a0 = F.coalesce(F.col(assisted), F.lit(False))
-    a1 = F.when(d.isNotNull() & (d != F.lit(air)) & ~a0, F.lit(True)).otherwise(F.col(assisted))
-    d1 = F.when(F.coalesce(a1, F.lit(False)) & F.coalesce((d == F.lit(air)) | d.isNull(), F.lit(False)),
-                F.lit(other)).otherwise(d)
-    return df.withColumns({device: d1, assisted: a1})
+    out = df.withColumn(assisted, F.when(d.isNotNull() & (d != F.lit(air)) & ~a0, F.lit(True)).otherwise(F.col(assisted)))
+    a1 = F.col(assisted)
+    return out.withColumn(device, F.when(F.coalesce(a1, F.lit(False)) & F.coalesce((d == F.lit(air)) | d.isNull(), F.lit(False)),
+                                         F.lit(other)).otherwise(d))
 
 
 def repair_device(df: DataFrame, device: str, assisted: str, n: int = 16,
@@ -159,29 +157,34 @@ def repair_o2(df: DataFrame, sat: str, score: str, assisted: str, device: str,
     reading and score fill each other on the patient's scale. ``bound`` is mean -
     k*std of the sign/zero/scale-fixed reading (``fit_sigma_bound`` on
     ``o2_prepared``)."""
-    s1 = o2_prepared(sat)
-    sc = F.col(score)
-    outlier = F.coalesce((s1 > 100) | (s1 <= F.lit(bound)), F.lit(False)) if bound is not None else \
-        F.coalesce(s1 > 100, F.lit(False))
     copd = F.lit(False)
     for d in diagnoses:
         copd = copd | F.coalesce(F.col(d).isin(COPD_CODES), F.lit(False))
     niv = F.lit(False)
     for p in procedures:
         niv = niv | F.coalesce(F.col(p) == NIV_PROCEDURE, F.lit(False))
-    dev = F.col(device)
-    scale2 = (niv | F.coalesce(dev == "NIV - NIV", F.lit(False))
-              | (copd & F.coalesce(dev.startswith("V"), F.lit(False)))
-              | (copd & F.coalesce(s1 < 88, F.lit(False))))
-    fill92 = outlier & scale2 & F.coalesce(sc == 0, F.lit(False))
-    s2 = F.when(fill92, F.lit(nw.SPO2_SCALE2_FILL)).when(outlier, F.lit(None)).otherwise(s1)
+    out = df.withColumns({"_s1": o2_prepared(sat), "_copd": copd})
+    s1, dev, sc = F.col("_s1"), F.col(device), F.col(score)
+    outlier = F.coalesce((s1 > 100) | (s1 <= F.lit(bound)), F.lit(False)) if bound is not None else \
+        F.coalesce(s1 > 100, F.lit(False))
+    out = out.withColumns({
+        "_out": outlier,
+        "_scale2": (niv | F.coalesce(dev == "NIV - NIV", F.lit(False))
+                    | (F.col("_copd") & F.coalesce(dev.startswith("V"), F.lit(False)))
+                    | (F.col("_copd") & F.coalesce(s1 < 88, F.lit(False)))),
+    })
+    o, s2flag = F.col("_out"), F.col("_scale2")
+    out = out.withColumn("_s2", F.when(o & s2flag & F.coalesce(sc == 0, F.lit(False)), F.lit(nw.SPO2_SCALE2_FILL))
+                         .when(o, F.lit(None)).otherwise(s1))
+    s2 = F.col("_s2")
     miss_sat = s2.isNull() & sc.isNotNull()
-    s3 = (F.when(miss_sat & ~scale2, nw.spo2_scale1_value(sc))
-          .when(miss_sat & scale2 & (sc == 0), F.lit(nw.SPO2_SCALE2_FILL)).otherwise(s2))
+    out = out.withColumn(sat, F.when(miss_sat & ~s2flag, nw.spo2_scale1_value(sc))
+                         .when(miss_sat & s2flag & (sc == 0), F.lit(nw.SPO2_SCALE2_FILL)).otherwise(s2))
+    s3 = F.col(sat)
     miss_score = s3.isNotNull() & sc.isNull()
-    sc2 = (F.when(miss_score & ~scale2, nw.spo2_scale1_score(s3))
-           .when(miss_score & scale2, nw.spo2_scale2_score(s3, F.col(assisted))).otherwise(sc))
-    return df.withColumns({sat: s3, score: sc2})
+    out = out.withColumn(score, F.when(miss_score & ~s2flag, nw.spo2_scale1_score(s3))
+                         .when(miss_score & s2flag, nw.spo2_scale2_score(s3, F.col(assisted))).otherwise(sc))
+    return out.drop("_s1", "_copd", "_out", "_scale2", "_s2")
 
 
 def o2_prepared(sat: str):

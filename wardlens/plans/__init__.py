@@ -6,6 +6,7 @@ def load_catalogue():
     from wardlens.plans import (  # noqa: F401
         q_clean,
         q_columns,
+        q_fit,
         q_flows,
         q_lookup,
         q_model,
