@@ -54,6 +54,12 @@ def ap_from_curve(c: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return c.groupBy(*group).agg(F.round(F.sum(term) / F.first("P"), DIGITS).alias("avg_precision"))
 
 
+def ranking_summary(df: DataFrame, label: str, score: str) -> DataFrame:
+    """AUROC and AP from one curve (one pass of running sums)."""
+    c = curve(score_table(df, label, score))
+    return auroc_from_curve(c).join(ap_from_curve(c), how="inner")  # two one-row tables
+
+
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
     return auroc_from_curve(curve(score_table(df, label, score)))
 

@@ -160,7 +160,7 @@ def q_metrics_row(spark, d):
     t = mt.threshold_at_fpr(s, "label", "score", FPR_TARGET).first()["threshold"]  # one number back
     pred = s.select(F.col("label").alias("y"), (F.col("score") > F.lit(t)).cast("int").alias("p"))
     cm_ = mt.class_metrics(pred, "y", "p").select("accuracy", "precision", "recall", "f2")
-    a = mt.auroc(s, "label", "score").join(mt.average_precision(s, "label", "score"), how="inner")
+    a = mt.ranking_summary(s, "label", "score")
     keys = spark.range(1).select(F.lit("price_rule").alias("name"), F.lit("rule").alias("estimator"),
                                  F.lit("none").alias("resampler"), F.lit("total_price").alias("features"),
                                  F.lit(1).alias("outcome_within"))
