@@ -18,7 +18,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture stays with their packed path, stay length, admission ward and a
     boolean death flag. Stays without any step keep a null path."""
-    s = fx.spells(spark, sf_dir).join(paths(spark, sf_dir), "spell_id", "left")
+    s = fx.spells(spark, sf_dir, segment=False).drop("specialty").join(paths(spark, sf_dir), "spell_id", "left")
     return s.withColumns({
         "died_flag": F.coalesce(F.col("died").isin("Yes"), F.lit(False)),
         "total_los": dv.total_los(F.col("path")),

@@ -44,16 +44,23 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("spell_id", "slot", ward.alias("ward"), los.alias("los"), code.alias("code"))
 
 
-def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spells(spark: SparkSession, sf_dir: str, segment: bool = True) -> DataFrame:
     """One row per stay (order), with nulls, placeholders, censored lab strings and
-    sign/scale errors planted by key arithmetic."""
+    sign/scale errors planted by key arithmetic.
+
+    ``specialty`` comes from a left join to customer on its unique key. Callers
+    that do not need it pass ``segment=False``: the join cannot change the row
+    set, and at scale it would be a large shuffle join."""
     o = read_table(spark, sf_dir, "orders",
                    ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
-    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     k = F.col("o_orderkey")
     ck = F.col("o_custkey")
     nul = F.lit(None)
-    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    if segment:
+        c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+        j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    else:
+        j = o.withColumn("c_mktsegment", F.lit(None).cast("string"))
     return j.select(
         k.alias("spell_id"),
         F.when(k % 97 == 0, nul).otherwise(ck).alias("patient_id"),
