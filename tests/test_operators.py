@@ -89,3 +89,16 @@ def test_rebalance_over_reaches_share(spark):
     out = sp.rebalance_over(df, "k", "y", 0.4)
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts[0] == 90 and counts[1] == 60
+
+
+def test_lag_lead_two_phase_equals_window(spark):
+    from wardlens.operators.ranking import lag_lead
+    # one hot group holding most rows, spread over several slices
+    df = spark.range(0, 400).select(F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"),
+                                    F.col("id").alias("o"), (F.col("id") * 3).alias("v"))
+    got = lag_lead(df, "g", ["o"], "v", num_partitions=6)
+    w = Window.partitionBy("g").orderBy("o")
+    ref = df.withColumns({"rp": F.lag("v").over(w), "rn": F.lead("v").over(w)})
+    j = got.join(ref, ["g", "o"])
+    assert j.count() == 400
+    assert j.where(~F.col("_prev").eqNullSafe(F.col("rp")) | ~F.col("_next").eqNullSafe(F.col("rn"))).count() == 0

@@ -124,18 +124,19 @@ def code_flag_all(codes: Column, codes_wanted: Sequence[str] = COVID_CODES) -> C
 def readmission_spans(df: DataFrame, patient: str, ts: str, key: str) -> DataFrame:
     """Seconds since the patient's previous admission and until the next one.
 
-    One window spec (partition by patient, ordered by time then key for ties)
-    serves both lag and lead, so the plan has a single sort. Rows without a
+    Ordered by time then key (ties). The previous/next admission come from the
+    two-phase ``ranking.lag_lead``: a patient with a large share of all rows is
+    spread over several tasks instead of one window partition. Rows without a
     patient get no history."""
-    w = Window.partitionBy(patient).orderBy(F.col(ts), F.col(key))
+    from wardlens.operators.ranking import lag_lead
+    secs = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    staged = df.withColumn("_t", secs)
+    out = lag_lead(staged, patient, [ts, key], "_t")
     has_patient = F.col(patient).isNotNull()
-    prev_ts = F.lag(ts).over(w)
-    next_ts = F.lead(ts).over(w)
-    secs = lambda a, b: F.unix_timestamp(a.cast("timestamp")) - F.unix_timestamp(b.cast("timestamp"))
-    return df.withColumns({
-        "prev_gap_s": F.when(has_patient, secs(F.col(ts), prev_ts)),
-        "next_gap_s": F.when(has_patient, secs(next_ts, F.col(ts))),
-    })
+    return out.withColumns({
+        "prev_gap_s": F.when(has_patient, F.col("_t") - F.col("_prev")),
+        "next_gap_s": F.when(has_patient, F.col("_next") - F.col("_t")),
+    }).drop("_t", "_prev", "_next")
 
 
 def readmission(gap_seconds, within_days: float = 30) -> Column:

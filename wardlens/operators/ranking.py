@@ -89,3 +89,34 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5,
     names = F.array(*[F.lit(c) for c in cols])
     allc = df.sparkSession.range(1).select(F.explode(names).alias("col_name"))
     return allc.join(picked.select("col_name", val.alias("value")), "col_name", "left")
+
+
+def lag_lead(df: DataFrame, group: str, order: Sequence[str], value: str,
+             num_partitions: int | None = None) -> DataFrame:
+    """Previous / next ``value`` within ``group`` in ``order`` (``_prev``/``_next``),
+    without sending a whole group to one task.
+
+    Rows are range-partitioned by (group, order), so a hot group spans several
+    slices. Inside a slice a plain window gives lag/lead; for the first and last
+    row of each slice the neighbour lives in the previous / next non-empty slice,
+    whose boundary rows (two per slice, P rows in all) are broadcast back.
+    ``order`` must be unique within the group."""
+    checkpoint_dir(df.sparkSession)
+    p = _partitions(df, num_partitions)
+    keys = [group, *order]
+    r = df.repartitionByRange(p, *[F.col(k) for k in keys]).withColumn("_pid", F.spark_partition_id())
+    r = r.checkpoint(eager=True)
+    w = Window.partitionBy("_pid", group).orderBy(*[F.col(o) for o in order])
+    r = r.withColumns({"_prev": F.lag(value).over(w), "_next": F.lead(value).over(w),
+                       "_first": F.lag(F.lit(1)).over(w).isNull(), "_last": F.lead(F.lit(1)).over(w).isNull()})
+    row = F.struct(*[F.col(k) for k in keys], F.col(value).alias("_v"))
+    ends = r.groupBy("_pid").agg(F.min(row).alias("_lo"), F.max(row).alias("_hi"))
+    wp = Window.orderBy("_pid")  # over the P boundary rows only
+    ends = ends.select("_pid", F.lag("_hi").over(wp).alias("_before"), F.lead("_lo").over(wp).alias("_after"))
+    j = r.join(F.broadcast(ends), "_pid", "left")
+    g = F.col(group)
+    prev = F.when(F.col("_first") & F.col("_before").isNotNull() & (F.col("_before")[group] == g),
+                  F.col("_before")["_v"]).otherwise(F.col("_prev"))
+    nxt = F.when(F.col("_last") & F.col("_after").isNotNull() & (F.col("_after")[group] == g),
+                 F.col("_after")["_v"]).otherwise(F.col("_next"))
+    return j.withColumns({"_prev": prev, "_next": nxt}).drop("_pid", "_first", "_last", "_before", "_after")
