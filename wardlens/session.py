@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,7 +24,8 @@ DEFAULT_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "wardlens", extra: dict | None = None) -> SparkSession:
-    """Return a session with the defaults above; existing settings win on a cluster."""
+    """Return a session with the defaults above; ``extra`` overrides them. An already
+    running session keeps its static settings."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -34,16 +36,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    checkpoint_dir(spark)
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    On a cluster the folder named by ``spark.checkpoint.dir`` is used as is (it must
-    be on shared storage so a lost executor's work can be re-read). Only when it is
-    unset, as in local tests, a fresh folder under the system temp dir is taken.
+    The folder named by ``spark.checkpoint.dir`` is used as is: it must be on shared
+    storage so a lost executor's work can be read again. Only a ``local`` session
+    may go without the setting (tests); it then gets a fresh temp folder. On any
+    other master a missing setting is an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -51,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="wardlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
