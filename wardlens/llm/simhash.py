@@ -186,15 +186,36 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     group's smallest id (null if there is none); an empty table gives no rows. Other
     columns are not read."""
     rows = stored(add_fingerprints(docs.select(id_col, text), text, shingle, seed, "_fp").select(id_col, "_fp"), "simhash")
-    return rows.join(fingerprint_groups(rows, id_col, "_fp", max_bits, hot), "_fp").select(
+    return rows.join(fingerprint_groups(rows, id_col, "_fp", max_bits, hot).drop("component"), "_fp").select(
         id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def fingerprint_groups(rows: DataFrame, id_col: str, col: str, max_bits: int = 4, hot: int = 50_000) -> DataFrame:
-    """(``col``, component_id) of every distinct fingerprint of ``rows``."""
+    """(``col``, component, component_id) of every distinct fingerprint of ``rows``: a
+    fingerprint that names the group, and its smallest id."""
     prints = stored(rows.groupBy(col).agg(F.min(id_col).alias("_first")), "prints")
-    found = components(fingerprint_links(prints, col, max_bits, hot)).withColumnRenamed("node", col)
-    found = stored(found, "roots")
+    found = stored(components(fingerprint_links(prints, col, max_bits, hot)).withColumnRenamed("node", col), "roots")
     least = prints.join(found, col).groupBy("root").agg(F.min("_first").alias("_least"))
-    linked = found.join(least, "root").select(col, "_least")
-    return prints.join(linked, col, "left").select(col, F.coalesce("_least", "_first").alias("component_id"))
+    linked = found.join(least, "root").select(col, "root", "_least")
+    return prints.join(linked, col, "left").select(
+        col, F.coalesce("root", col).alias("component"), F.coalesce("_least", "_first").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, seed: int = 42,
+             max_bits: int = 4, hot: int = 50_000) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id, nulls
+    last; of several with that id, the one whose columns have the smallest hash; of rows
+    equal in full, one. Texts meet only their own fingerprint's verdict, one row a group."""
+    tie = F.xxhash64(*[F.col(c) for c in docs.columns])
+    d = stored(add_fingerprints(docs, text, shingle, seed, "_fp").withColumn("_tie", tie), "simhash-docs")
+    ids = d.select(F.col(id_col).alias("_id"), "_fp", "_tie")
+    groups = stored(fingerprint_groups(ids, "_id", "_fp", max_bits, hot).select("_fp", "component"), "groups")
+    order = F.struct(F.col("_id").isNull().alias("null"), F.col("_id"), F.col("_tie"), F.col("_fp"))
+    best = ids.join(groups, "_fp").groupBy("component").agg(F.min(order).alias("o")).select("o._id", "o._tie", "o._fp")
+    best = stored(best, "best")
+    on = (F.col(f"d.{id_col}").eqNullSafe(F.col("b._id")) & (F.col("d._tie") == F.col("b._tie")) & (F.col("d._fp") == F.col("b._fp")))
+    times = ids.alias("d").join(best.alias("b"), F.col("d._id").eqNullSafe(F.col("b._id")) & (F.col("d._tie") == F.col("b._tie"))
+                                & (F.col("d._fp") == F.col("b._fp"))).groupBy("b._id", "b._tie", "b._fp").count()
+    best = stored(times, "best-times")
+    pick = lambda b: d.alias("d").join(b.hint("shuffle_hash").alias("b"), on, "left_semi").select(*docs.columns)
+    return pick(best.where("count = 1")).unionByName(pick(best.where("count > 1")).dropDuplicates())
