@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import numbered, stored
+from wardlens.llm.common import LOWER, numbered, stored
 
 
 class WordIds:
@@ -39,45 +39,72 @@ class WordIds:
 
     For tokenizers that drop white space: a text's ids are its words' ids in a row. New
     words are encoded many at a time, parted by a separator that is a token of its own.
-    Two generations of at most ``limit`` words are kept, so memory is bounded and
-    frequent words stay."""
+    Where the tokenizer lower-cases, A-Z are lower-cased first (but not in texts that
+    could hold a special token's name), and where it parts a letter from a mark after it,
+    a word that ends so takes the ids of its two parts. Two generations of at most
+    ``limit`` words are kept, so memory is bounded and frequent words stay."""
 
     SEPARATOR = "~"
+    MARKS = ".,!?;:"
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.new, self.old = limit, {}, {}
-        mark = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        upper = "".join(map(chr, range(65, 91)))
+        mark = self.encode(self.SEPARATOR)
+        self.sep = int(mark[0]) if len(mark) == 1 else None
+        self.lower = self.encode(upper).tolist() == self.encode(upper.lower()).tolist()
+        self.marks = {m.encode()[0] for m in self.MARKS if all(
+            self.encode(w + m).tolist() == [*self.encode(w), *self.encode(m)] for w in ("the", "aztq", upper.lower()))}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def words(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        if self.lower and b"<" not in raw:
+            raw = raw.translate(LOWER)
+        return raw.split()
 
     def learn(self, words: set[bytes]) -> None:
         """Make sure that ``new`` has all of ``words``."""
         if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        todo = []
+        new, old, marks = self.new, self.old, self.marks
+        todo, parted = set(), []
         for w in words:
             if w not in new:
                 got = old.get(w)
-                if got is None:
-                    todo.append(w)
-                else:
+                if got is not None:
                     new[w] = got
+                elif len(w) > 1 and w[-1] in marks and 97 <= w[-2] <= 122:
+                    parted.append(w)
+                else:
+                    todo.add(w)
+        for w in parted:
+            for x in (w[:-1], w[-1:]):
+                if x not in new:
+                    got = old.get(x)
+                    if got is None:
+                        todo.add(x)
+                    else:
+                        new[x] = got
         sep = self.SEPARATOR.encode()
-        alone = [w for w in todo if self.mark is None or sep in w]
-        todo = [w for w in todo if self.mark is not None and sep not in w]
-        enc = self.tokenizer.encode
+        alone = [w for w in todo if self.sep is None or sep in w]
+        rest = [w for w in todo if self.sep is not None and sep not in w]
         for w in alone:
-            new[w] = np.array(enc(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for lo in range(0, len(todo), 10_000):
-            part = todo[lo:lo + 10_000]
-            ids = np.array(enc((b" " + sep + b" ").join(part).decode(), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.mark).tolist()
+            new[w] = self.encode(w.decode()).tobytes()
+        for lo in range(0, len(rest), 10_000):
+            part = rest[lo:lo + 10_000]
+            ids = self.encode((b" " + sep + b" ").join(part).decode())
+            cut = np.flatnonzero(ids == self.sep).tolist()
             raw = ids.tobytes()
             for w, a, b in zip(part, [-1, *cut], [*cut, len(ids)], strict=True):
                 new[w] = raw[4 * a + 4:4 * b]
+        for w in parted:
+            new[w] = new[w[:-1]] + new[w[-1:]]
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.new.__getitem__, words))
@@ -98,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                split = [(t or "").encode().split() for t in part.column(1).to_pylist()]
+                split = [known.words(t) for t in part.column(1).to_pylist()]
                 known.learn(set().union(*split))
                 row, rest = [], []
                 for i, words in enumerate(split):
