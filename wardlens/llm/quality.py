@@ -32,8 +32,8 @@ FEATURES = {
     "x0": ("ln(1 + n_words)", 0.5),
     "x1": ("ln(1 + word_chars / n_words)", 0.1),
     "x2": ("ln(1 + 100 * n_symbols / greatest(word_chars, 1))", 0.25),
-    "x3": ("n_dup_lines / greatest(n_lines, 1)", 0.05),
-    "x4": ("n_repeat_words / n_words", 0.05),
+    "x3": ("n_dup_lines / greatest(n_lines, 1)", 0.15),
+    "x4": ("n_repeat_words / n_words", 0.08),
 }
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
