@@ -20,6 +20,7 @@ in a join.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from wardlens.llm.common import LOWER, stored
 
 CLASSES, MEMBERS = 32, 32
+#: Bound of output weights.
+CLIP = 4.0
 END = b""
 
 
@@ -78,9 +81,17 @@ class Vocabulary:
         self.bucket_symbol = rank[n_words + 1:].tolist()
         self.size = np.sort(size)[::-1]
 
-    def symbols(self, words: list[bytes]) -> list[int]:
+    def symbols(self, words: list[bytes], most: int = 500_000) -> list[int]:
+        """Symbol of each word. Words seen are remembered, at most about ``most``."""
+        seen = self.__dict__.setdefault("seen", {})
+        if len(seen) > most:
+            seen.clear()
+        new = set(words).difference(seen)
         get, bs, k = self.symbol.get, self.bucket_symbol, self.buckets
-        return [s if (s := get(w)) is not None else bs[zlib.crc32(w[-3:]) % k] for w in words]
+        for w in new:
+            s = get(w)
+            seen[w] = bs[zlib.crc32(w[-3:]) % k] if s is None else s
+        return list(map(seen.__getitem__, words))
 
 
 class Gru:
@@ -116,11 +127,11 @@ class Gru:
         """States after each step: inputs and fresh (a document begins) are (step, lane)."""
         k, u = self.hidden, self.w["u"]
         xs = self.w["x"][inputs]
-        out = np.empty((*inputs.shape, k), np.float32)
+        out = np.empty((*inputs.shape, k), xs.dtype)
         any_fresh = fresh.any(1)
         for t in range(len(inputs)):
             if any_fresh[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+                h = np.where(fresh[t][:, None], xs.dtype.type(0), h)
             hu = h @ u
             x = xs[t]
             zr = x[:, :2 * k] + hu[:, :2 * k]
@@ -129,24 +140,36 @@ class Gru:
             zr += 1
             np.reciprocal(zr, out=zr)
             z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(x[:, 2 * k:] + r * hu[:, 2 * k:])
+            n = r * hu[:, 2 * k:]
+            n += x[:, 2 * k:]
+            n *= 2  # tanh(n) = 1 - 2 / (1 + exp(2 n))
+            np.exp(n, out=n)
+            n += 1
+            np.divide(-2, n, out=n)
+            n += 1
             if keep is not None:
                 keep.append((h, z, r, n, hu[:, 2 * k:]))
-            h = n + z * (h - n)
+            h = h - n
+            h *= z
+            h += n
             out[t] = h
         return out
 
     def predict(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Log-probability of each target after state ``h`` (rows); with ``grads``, adds the
-        output layer's gradients there and returns also the states' gradient."""
+        output layer's gradients there and returns also the states' gradient.
+
+        States lie in [-1, 1] and weights within the clip, so no exponential overflows."""
         c = target // MEMBERS
-        a = h @ self.w["c"] + self.w["cb"]
-        a -= a.max(1, keepdims=True)
+        order = np.argsort(c.astype(np.uint8), kind="stable")  # rows by class
+        h, c, t = h[order], c[order], target[order] % MEMBERS
         rows = np.arange(len(h))
-        own = a[rows, c]
+        a = h @ self.w["c"]
+        a += self.w["cb"]
+        logp = a[rows, c]
         np.exp(a, out=a)
-        s = a.sum(1)
-        logp = own - np.log(s)
+        s = a @ np.ones(CLASSES, a.dtype)
+        logp -= np.log(s)
         dh = None
         if grads is not None:
             a /= s[:, None]
@@ -154,27 +177,28 @@ class Gru:
             grads["c"] += h.T @ a
             grads["cb"] += a.sum(0)
             dh = a @ self.w["c"].T
-        order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        edge = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+        one = np.ones(MEMBERS, a.dtype)
         for k in range(CLASSES):
-            i = order[edge[k]:edge[k + 1]]
-            if not len(i):
+            i = slice(edge[k], edge[k + 1])
+            if i.start == i.stop:
                 continue
-            hi, t = h[i], target[i] - k * MEMBERS
-            b = hi @ self.w["m"][k] + self.w["mb"][k]
-            b -= b.max(1, keepdims=True)
-            rows = np.arange(len(i))
-            own = b[rows, t]
+            b = h[i] @ self.w["m"][k]
+            b += self.w["mb"][k]
+            at = rows[:i.stop - i.start], t[i]
+            logp[i] += b[at]
             np.exp(b, out=b)
-            s = b.sum(1)
-            logp[i] += own - np.log(s)
+            s = b @ one
+            logp[i] -= np.log(s)
             if grads is not None:
                 b /= s[:, None]
-                b[rows, t] -= 1
-                grads["m"][k] += hi.T @ b
+                b[at] -= 1
+                grads["m"][k] += h[i].T @ b
                 grads["mb"][k] += b.sum(0)
                 dh[i] += b @ self.w["m"][k].T
-        return logp, dh
+        back = np.empty_like(order)
+        back[order] = rows
+        return logp[back], None if dh is None else dh[back]
 
     def gradients(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, target: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean negative log-probability over a window, and the last state."""
@@ -184,7 +208,7 @@ class Gru:
         out = self.forward(h, inputs, fresh, keep)
         _, d_out = self.predict(out.reshape(-1, k), target.ravel(), grads)
         d_out = d_out.reshape(out.shape)
-        dx = np.empty((*inputs.shape, 3 * k), np.float32)
+        dx = np.empty((*inputs.shape, 3 * k), out.dtype)
         dh = np.zeros_like(out[0])
         for t in range(len(inputs) - 1, -1, -1):
             h, z, r, n, hn = keep[t]
@@ -201,7 +225,7 @@ class Gru:
             if fresh[t].any():
                 dh[fresh[t]] = 0
         flat, dx = inputs.ravel(), dx.reshape(-1, 3 * k)
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
         s, first = np.unique(flat[order], return_index=True)
         grads["x"] = np.zeros_like(self.w["x"])
         grads["x"][s] = np.add.reduceat(dx[order], first, axis=0)
@@ -209,27 +233,31 @@ class Gru:
         return {x: g / n for x, g in grads.items()}, out[-1]
 
 
-def lanes(docs: list[list[int]], width: int, start: int):
+def lanes(docs: list[list[int]], width: int, start: int, first: list[int] | None = None):
     """Documents dealt to at most ``width`` lanes, most loaded first: target symbols,
     inputs, beginnings and document numbers as (step, lane) arrays, and the lanes' loads.
-    Whole documents follow each other in a lane."""
+    Whole documents follow each other in a lane. ``first``: what is read before each
+    document, if not ``start``."""
     size = np.array([len(d) for d in docs])
     n = int(max(1, min(width, size.sum() // max(1, size.max()), len(docs))))
-    load, queue = np.zeros(n, np.int64), [[] for _ in range(n)]
+    heap, queue = [(0, j) for j in range(n)], [[] for _ in range(n)]
     for i in np.argsort(-size, kind="stable").tolist():
-        j = int(load.argmin())
+        load, j = heap[0]
         queue[j].append(i)
-        load[j] += size[i]
+        heapq.heapreplace(heap, (load + int(size[i]), j))
+    load = np.array([x for x, _ in sorted(heap, key=lambda x: x[1])])
     by = np.argsort(-load, kind="stable")
     shape = (int(load.max()), n)
-    target, prev = np.zeros(shape, np.int64), np.full(shape, start)
-    fresh, doc = np.zeros(shape, bool), np.zeros(shape, np.int64)
+    target, prev = np.zeros(shape, np.int16), np.full(shape, start, np.int16)
+    fresh, doc = np.zeros(shape, bool), np.zeros(shape, np.int32)
     for lane, j in enumerate(by.tolist()):
         at = 0
         for i in queue[j]:
             end = at + len(docs[i])
             target[at:end, lane], doc[at:end, lane], fresh[at, lane] = docs[i], i, True
             prev[at + 1:end, lane] = docs[i][:-1]
+            if first is not None:
+                prev[at, lane] = first[i]
             at = end
     return target, prev, fresh, doc, load[by]
 
@@ -245,7 +273,7 @@ def windows(load: np.ndarray, steps: int) -> Iterator[tuple[slice, slice]]:
         at = end
 
 
-def _parts(batch: list[list[int]], most: int = 1_000_000) -> Iterator[list[int]]:
+def _parts(batch: list[list[int]], most: int = 4_000_000) -> Iterator[list[int]]:
     """Rows of a batch, some ``most`` symbols at a time."""
     part, size = [], 0
     for i, d in enumerate(batch):
@@ -259,8 +287,9 @@ def _parts(batch: list[list[int]], most: int = 1_000_000) -> Iterator[list[int]]
 
 
 def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hidden: int = 16, steps: int = 16,
-          width: int = 256, rounds: int = 2, rate: float = 0.01, workers: int | None = None) -> np.ndarray:
+          width: int = 256, rounds: int = 2, rate: float = 0.01, stretch: int = 512, workers: int | None = None) -> np.ndarray:
     """Weights after ``rounds`` rounds over ``docs``, each document in one of them.
+    Training carries the state through ``stretch`` symbols at most; scoring through all.
     ``vocabulary``: a broadcast Vocabulary; ``size``: its symbols' counts."""
     sc = docs.sparkSession.sparkContext
     now = Gru(size, hidden).flat()
@@ -276,10 +305,13 @@ def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hid
             seen, turn = 0, 0
             for batch in batches:
                 rows = [voc.symbols(tokens(t)) for t in batch.column(0).to_pylist()]
-                for part in _parts(rows):
-                    own = [rows[i] for i in part]
+                for part in _parts(rows, 1_000_000):
+                    # long documents in stretches, so that no lane is left alone
+                    own = [(rows[i][a - 1] if a else voc.symbol[END], rows[i][a:a + stretch])
+                           for i in part for a in range(0, len(rows[i]), stretch)]
+                    first, own = zip(*own)
                     total = sum(map(len, own))
-                    target, prev, fresh, _, load = lanes(own, int(np.clip(total // 2000, 8, width)), voc.symbol[END])
+                    target, prev, fresh, _, load = lanes(own, int(np.clip(total // 2000, 8, width)), voc.symbol[END], first)
                     h = np.zeros((len(load), hidden), np.float32)
                     for s, l in windows(load, steps):
                         g, h = net.gradients(h[l], prev[s, l], fresh[s, l], target[s, l])
@@ -290,6 +322,8 @@ def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hid
                             m1[x] += np.float32(0.1) * (g[x] - m1[x])
                             m2[x] += np.float32(0.001) * (g[x] * g[x] - m2[x])
                             w -= fix * m1[x] / (np.sqrt(m2[x]) + np.float32(1e-7))
+                            if x in ("c", "m"):
+                                np.clip(w, -CLIP, CLIP, out=w)
             if seen:
                 flat = net.flat()
                 yield pa.RecordBatch.from_arrays(
