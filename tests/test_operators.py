@@ -19,7 +19,7 @@ from wardlens.sources import read_json_map
 
 def test_running_sums_equal_single_window(spark):
     df = spark.range(0, 500).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("v"))
-    got = running_sums(df, ["o"], {"v": F.col("v")}, ["g"], num_partitions=7)
+    got = running_sums(df, ["o"], {"v": F.col("v")}, ["g"])
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("ref", F.sum("v").over(w))
     j = got.join(ref, ["g", "o"])
@@ -29,7 +29,7 @@ def test_running_sums_equal_single_window(spark):
 
 def test_exact_quantiles_match_median(spark):
     df = spark.createDataFrame([(float(x), float(x % 5) if x % 4 else None) for x in [1, 2, 4, 10, 10, 10, 3]], "a double, b double")
-    got = {r["col_name"]: r["value"] for r in exact_quantiles(df, ["a", "b"], 0.5, num_partitions=3).collect()}
+    got = {r["col_name"]: r["value"] for r in exact_quantiles(df, ["a", "b"], 0.5).collect()}
     ref = df.agg(F.median("a"), F.median("b")).first()
     assert got["a"] == pytest.approx(ref[0]) and got["b"] == pytest.approx(ref[1])
 
@@ -53,7 +53,7 @@ def test_stratified_folds_balanced(spark):
 def test_cascade_order_exact_then_3_then_4(spark):
     codes = spark.createDataFrame([("A12.3",), ("A129",), ("B99",), (None,)], "code string")
     ref = spark.createDataFrame([("A123", 1), ("A12", 2), ("A129", 3), ("A1", 9)], "code string, grp int")
-    got = {r["code"]: r["grp"] for r in lk.cascade_join(codes, "code", ref, "code", "grp", "grp", known_rows=4).collect()}
+    got = {r["code"]: r["grp"] for r in lk.cascade_join(codes, "code", ref, "code", "grp", "grp").collect()}
     assert got == {"A12.3": 1, "A129": 3, "B99": 259, None: None}
 
 
@@ -96,9 +96,46 @@ def test_lag_lead_two_phase_equals_window(spark):
     # one hot group holding most rows, spread over several slices
     df = spark.range(0, 400).select(F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"),
                                     F.col("id").alias("o"), (F.col("id") * 3).alias("v"))
-    got = lag_lead(df, "g", ["o"], "v", num_partitions=6)
+    got = lag_lead(df, "g", ["o"], "v")
     w = Window.partitionBy("g").orderBy("o")
     ref = df.withColumns({"rp": F.lag("v").over(w), "rn": F.lead("v").over(w)})
     j = got.join(ref, ["g", "o"])
     assert j.count() == 400
     assert j.where(~F.col("_prev").eqNullSafe(F.col("rp")) | ~F.col("_next").eqNullSafe(F.col("rn"))).count() == 0
+
+
+def test_missing_labels_are_a_class_of_their_own(spark):
+    df = spark.range(0, 40).select(F.col("id").alias("k"), F.when(F.col("id") % 5 != 0, (F.col("id") % 4 == 0).cast("int")).alias("y"))
+    n = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    assert n[None] == 8
+    split = sp.stratified_split(df, "k", "y", 0.25)
+    assert split.count() == 40 and split.where("y is null and split = 'test'").count() == 2
+    under = sp.rebalance_under(df, "k", "y")
+    assert under.count() == 24 and under.where("y is null").count() == 8
+    over = {r["y"]: r["count"] for r in sp.rebalance_over(df, "k", "y", 0.4).groupBy("y").count().collect()}
+    assert over[None] == 8 and over[0] == n[0] and over[1] == 16
+    folds = sp.stratified_kfold(df, "k", "y", 5)
+    assert folds.where("fold is null").count() == 0
+
+
+def test_running_sums_by_text_time_and_sign(spark):
+    df = spark.range(-60, 60).select((F.col("id") * 0.37).alias("n"), F.md5(F.col("id").cast("string")).alias("s"),
+                                     F.expr("date '2020-01-01' + cast(id * 9 as int)").alias("d"), F.lit(2).alias("v"))
+    for o in ("n", "s", "d"):
+        got = running_sums(df, [o], {"v": F.col("v")}, inclusive=False).orderBy(o).collect()
+        assert [r["cum_v"] for r in got] == [2 * i for i in range(120)]
+
+
+def test_text_tokens(spark):
+    from wardlens.operators.model import with_tokens
+    df = spark.createDataFrame([("Hello, apple world: naïve people 42",), ("  ",), (None,)], "t string")
+    got = [r["tokens"] for r in with_tokens(df, "t", "tokens").collect()]
+    assert got == [["hello", "apple", "world", "naïve", "people", "42"], [], []]
+
+
+def test_poisson_draws_have_the_right_moments(spark):
+    from wardlens.operators.metrics import with_poisson
+    df = spark.range(20000).select(F.explode(F.array(F.lit(1), F.lit(7), F.lit(500))).alias("n"), "id")
+    got = with_poisson(df.withColumn("k", F.col("id").cast("string")), "n", "k", "w").groupBy("n").agg(F.avg("w").alias("m"), F.var_pop("w").alias("v"))
+    for r in got.collect():
+        assert abs(r.m - r.n) < 0.05 * r.n and abs(r.v - r.n) < 0.08 * r.n

@@ -1,7 +1,7 @@
 """Repeated column families (ward path, diagnoses, procedures) as arrays.
 
 A family is packed once at the edge - either from sibling columns of a wide row
-(``pack_columns``/``pack_pairs``) or from a long table (``pack_long``) - and all
+(``pack_columns``) or from a long table (``pack_long``) - and all
 per-row logic then runs as higher-order functions inside whole-stage codegen,
 with no shuffle and no explode/re-group round trip.
 """
@@ -25,16 +25,6 @@ def pack_columns(cols: Sequence[ColOrName]) -> Column:
     return F.array(*[_c(c) for c in cols])
 
 
-def pack_pairs(names: Sequence[str], values: Sequence[str], name_field: str = "ward",
-               value_field: str = "los") -> Column:
-    """Pairs of sibling columns (e.g. ward i and its stay length) -> array of
-    struct(slot, name, value); slots numbered from 1 in list order."""
-    return F.array(*[
-        F.struct(F.lit(i + 1).alias("slot"), F.col(n).alias(name_field), F.col(v).alias(value_field))
-        for i, (n, v) in enumerate(zip(names, values, strict=True))
-    ])
-
-
 def pack_long(df: DataFrame, key: str, order: str, fields: Sequence[str], name: str = "path") -> DataFrame:
     """Long rows (key, order, fields...) -> one row per key with the steps sorted by
     ``order``. The input must already hold one row per (key, order) - aggregate it
@@ -44,11 +34,6 @@ def pack_long(df: DataFrame, key: str, order: str, fields: Sequence[str], name:
     return df.groupBy(key).agg(F.sort_array(F.collect_list(step)).alias(name))
 
 
-def unpack(arr: ColOrName, width: int, prefix: str) -> list[Column]:
-    """Array -> ``width`` columns ``prefix1..prefixN`` (missing positions null)."""
-    return [F.try_element_at(_c(arr), F.lit(i + 1)).alias(f"{prefix}{i + 1}") for i in range(width)]
-
-
 def first_match(arr: ColOrName, pred: Callable[[Column], Column], start: int = 1) -> Column:
     """1-based position of the first element at or after ``start`` for which
     ``pred`` holds (null predicate = no match); null when nothing matches."""
@@ -91,10 +76,6 @@ def all_of(arr: ColOrName, pred: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.forall(_c(arr), lambda x: F.coalesce(pred(x), F.lit(False))), F.lit(True))
 
 
-def count_of(arr: ColOrName, pred: Callable[[Column], Column]) -> Column:
-    return F.coalesce(F.size(F.filter(_c(arr), lambda x: F.coalesce(pred(x), F.lit(False)))), F.lit(0))
-
-
 def justify(arr: ColOrName, side: str = "left", invalid: object = None) -> Column:
     """Drop missing (or ``invalid``) entries and shift the rest to one side, order
     and width kept: [a, null, b] -> [a, b, null] (left) / [null, a, b] (right)."""
@@ -103,7 +84,8 @@ def justify(arr: ColOrName, side: str = "left", invalid: object = None) -> Colum
         kept = F.filter(a, lambda x: x.isNotNull())
     else:
         kept = F.filter(a, lambda x: x.isNotNull() & (x != F.lit(invalid)))
-    pad = F.array_repeat(F.lit(None).cast(a_elem_type_hint(kept)), F.size(a) - F.size(kept))
+    # nulls of the family's own type
+    pad = F.slice(F.transform(a, lambda x: F.nullif(x, x)), F.lit(1), F.size(a) - F.size(kept))
     if side == "left":
         return F.concat(kept, pad)
     if side == "right":
@@ -111,12 +93,6 @@ def justify(arr: ColOrName, side: str = "left", invalid: object = None) -> Colum
     raise ValueError(f"side must be 'left' or 'right', got {side!r}")
 
 
-def a_elem_type_hint(kept: Column) -> str:
-    # Families handled with justify are code/text families; a typed null keeps
-    # concat's element types equal.
-    return "string"
-
-
 def contains_all(arr: ColOrName, values: Sequence[str]) -> Column:
     """Row holds every value of ``values`` (set containment)."""
     want = F.array(*[F.lit(v) for v in values])

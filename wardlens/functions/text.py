@@ -73,11 +73,6 @@ def first_stem(c, stems: Sequence[str] = AE_DIAGNOSIS_STEMS) -> Column:
     return F.nullif(F.regexp_extract(F.lower(_c(c)), stem_pattern(stems), 1), F.lit(""))
 
 
-def all_stems(c, stems: Sequence[str] = AE_DIAGNOSIS_STEMS) -> Column:
-    """Every stem occurrence, in text order."""
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit(stem_pattern(stems)), 1)
-
-
 def merge_levels(c, mapping: Mapping[str, str], lower_after: bool = False, lower_before: bool = False) -> Column:
     """Replace values by a merge map (unlisted values kept); optionally lower-case
     before the look-up (old layout) or after it (new layout)."""

@@ -103,14 +103,6 @@ def repair_device_air(df: DataFrame, assisted: str, score: str) -> DataFrame:
     return repair_flag_score(df, assisted, score, 2.0, 0.0)
 
 
-def fit_top_levels(df: DataFrame, col: str, n: int) -> list[str]:
-    """The ``n`` most frequent non-null values (count desc, value asc on ties).
-    Bounded output (n rows) from a partially aggregated count."""
-    rows = (df.where(F.col(col).isNotNull()).groupBy(col).count()
-            .orderBy(F.desc("count"), F.asc(col)).limit(n).collect())
-    return [r[0] for r in rows]
-
-
 def device_consistency(df: DataFrame, device: str, assisted: str, air: str = "A - Air",
                        other: str = "Other") -> DataFrame:
     """A real device (not air) implies assisted breathing; assisted breathing with

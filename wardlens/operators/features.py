@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from wardlens.operators.ranking import exact_quantiles
+from wardlens.operators.ranking import exact_quantiles, ranks
 
 # Static imputations of the old admission layout.
 STATIC_IMPUTATION = {
@@ -64,17 +64,35 @@ def unfill_na(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.withColumns(exprs)
 
 
-def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct levels per column (one aggregate; bounded by cardinality)."""
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+def levels_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(col_name, level): the distinct present values of each column, as text, by a
+    partial aggregate."""
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("level")) for c in cols]))
+    return df.select(kv.alias("kv")).select("kv.*").where(F.col("level").isNotNull()).distinct()
+
+
+def fit_levels(df: DataFrame, cols: Sequence[str], most: int = 10_000) -> dict[str, list]:
+    """Sorted distinct levels per column. A column per level is made of them, so more
+    than ``most`` levels in all are refused."""
+    rows = levels_table(df, cols).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} levels")
+    return {c: sorted(r["level"] for r in rows if r["col_name"] == c) for c in cols}
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence] | None = None) -> DataFrame:
-    """Code of the value in the sorted level list; missing or unknown -> -1."""
-    lv = dict(levels) if levels is not None else fit_levels(df, cols)
-    return df.withColumns({c: F.coalesce((F.array_position(F.array(*[F.lit(x) for x in lv[c]]), F.col(c)) - 1)
-                                         .cast("int"), F.lit(-1)) for c in cols})
+    """Code of the value in the sorted level list; missing or unknown -> -1. Without given
+    ``levels`` a column's distinct values are ranked as a table and joined, so their
+    number is not bounded."""
+    if levels is not None:
+        return df.withColumns({c: F.coalesce((F.array_position(F.array(*[F.lit(x) for x in levels[c]]), F.col(c)) - 1)
+                                             .cast("int"), F.lit(-1)) for c in cols})
+    names, out = df.columns, df
+    for c in cols:
+        coded = ranks(df.select(F.col(c).alias("_level")).where(F.col("_level").isNotNull()).distinct(), ["_level"], (), "_code")
+        out = out.join(coded, F.col(c) == F.col("_level"), "left").withColumn(
+            c, F.coalesce((F.col("_code") - 1).cast("int"), F.lit(-1))).drop("_level", "_code")
+    return out.select(*names)
 
 
 def onehot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence] | None = None, sep: str = "__",
@@ -113,18 +131,18 @@ def standard_scale(df: DataFrame, cols: Sequence[str], moments: Mapping | None =
 
 
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    """Most frequent present value per column (ties: smallest value); one small
-    count per column, first row taken."""
-    out = {}
-    for c in cols:
-        r = (df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), F.asc(c)).limit(1).collect())
-        out[c] = r[0][0] if r else None
-    return out
+    """Most frequent present value per column (ties: smallest value). All columns are
+    counted in one pass; one row per column comes back."""
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("v")) for c in cols]))
+    n = df.select(kv.alias("kv")).select("kv.*").where(F.col("v").isNotNull()).groupBy("col_name", "v").count()
+    best = n.groupBy("col_name").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("m")).collect()
+    got = {r["col_name"]: r["m"]["v"] for r in best}
+    return {c: got.get(c) for c in cols}
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str], modes: Mapping | None = None) -> DataFrame:
     md = dict(modes) if modes is not None else fit_modes(df, cols)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(md[c])) for c in cols if md.get(c) is not None})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(md[c]).cast(df.schema[c].dataType)) for c in cols if md.get(c) is not None})
 
 
 def preprocess_by_type(df: DataFrame, key: str, label: str | None = None) -> DataFrame:

@@ -1,12 +1,10 @@
 """Look-up joins (J-rows).
 
-Look-up tables (code lists, groupings, descriptions) are dimension tables. They
-are joined to the long form of a family (one row per code) with a broadcast hash
-join, so the large side is never shuffled. A broadcast hint is only given after
-the look-up's row count is checked against ``max_rows``; above it the join is
-left to the planner (sort-merge, with AQE able to switch at run time).
-Literal ``map`` look-ups are reserved for maps of a few dozen entries: Spark map
-access is a linear scan, so a large literal map costs O(rows x entries).
+Look-up tables (code lists, groupings, descriptions) are dimension tables. They are
+joined to the long form of a family (one row per code) without hints: the planner
+broadcasts a side whose size it knows or measures to be below its threshold, so the
+large side is not shuffled, and sort-merges anything larger, with AQE able to switch at
+run time and to split skewed keys.
 """
 
 from __future__ import annotations
@@ -18,38 +16,27 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.codes import undotted
 
-MAX_BROADCAST_ROWS = 2_000_000
 CCS_SENTINEL = 259
 
 
-def bounded(lookup: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``lookup`` only when its size is proven small: ``known_rows`` (a
-    constant-size table) or one count job."""
-    n = known_rows if known_rows is not None else lookup.count()
-    return F.broadcast(lookup) if n <= max_rows else lookup
-
-
 def lookup_join(df: DataFrame, on: Column | str, lookup: DataFrame, key: str,
-                values: Sequence[str], prefix: str = "", max_rows: int = MAX_BROADCAST_ROWS,
-                known_rows: int | None = None) -> DataFrame:
+                values: Sequence[str], prefix: str = "") -> DataFrame:
     """Left join of ``df`` to ``lookup`` on ``on == key``; unmatched -> null.
     ``lookup`` must be unique on ``key`` (de-duplicate a many-to-one table first)."""
     lk = lookup.select(F.col(key).alias("_lk_key"), *[F.col(v).alias(prefix + v) for v in values])
-    lk = bounded(lk, max_rows, known_rows)
     cond = (F.col(on) if isinstance(on, str) else on) == F.col("_lk_key")
     return df.join(lk, cond, "left").drop("_lk_key")
 
 
 def cascade_join(df: DataFrame, code: str, lookup: DataFrame, key: str, value: str, out: str,
-                 prefixes: Sequence[int] = (3, 4), sentinel: object = CCS_SENTINEL,
-                 max_rows: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
+                 prefixes: Sequence[int] = (3, 4), sentinel: object = CCS_SENTINEL) -> DataFrame:
     """Cascaded prefix join: the undotted code matched exactly, else its first
     ``prefixes[0]`` characters, then ``prefixes[1]``...; a present code matching
     nothing gets ``sentinel``; a missing code stays missing. Each step is a
     broadcast left join on the long form (no shuffle of ``df``)."""
     u = undotted(code)
     keys = [("_cj0", u)] + [(f"_cj{i + 1}", F.left(u, F.lit(n))) for i, n in enumerate(prefixes)]
-    lk = bounded(lookup.select(F.col(key).alias("_k"), F.col(value).alias("_v")), max_rows, known_rows)
+    lk = lookup.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
     out_df = df.withColumns({name: expr for name, expr in keys})
     hits = []
     for name, _ in keys:
@@ -61,10 +48,9 @@ def cascade_join(df: DataFrame, code: str, lookup: DataFrame, key: str, value: s
     return out_df.withColumn(out, res).drop(*[n for n, _ in keys], *[f"{n}_v" for n, _ in keys])
 
 
-def keep_members(df: DataFrame, code: str, ref: DataFrame, key: str,
-                 max_rows: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
+def keep_members(df: DataFrame, code: str, ref: DataFrame, key: str) -> DataFrame:
     """Codes not found in ``ref`` become null (rows kept)."""
-    r = bounded(ref.select(F.col(key).alias("_m")).distinct(), max_rows, known_rows)
+    r = ref.select(F.col(key).alias("_m")).distinct()
     j = df.join(r, F.col(code) == F.col("_m"), "left")
     return j.withColumn(code, F.when(F.col("_m").isNotNull(), F.col(code))).drop("_m")
 
@@ -77,11 +63,6 @@ def semi(df: DataFrame, on: str, other: DataFrame, other_key: str, anti: bool =
     return df.join(o, F.col(on) == F.col("_sk"), "left_anti" if anti else "left_semi")
 
 
-def small_map(mapping: dict) -> Column:
-    """Literal map for a handful of entries (linear lookup per row)."""
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-
-
 GROUPINGS = ("SHMI", "HSMR", None)
 
 

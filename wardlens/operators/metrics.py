@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from wardlens.operators.ranking import running_sums
 
 DIGITS = 9
-# Poisson(1) cumulative probabilities P(X <= k), k = 0..11, from the formula.
-POISSON1_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
 def score_table(df: DataFrame, label: str, score: str, weight: Column | None = None,
@@ -30,48 +28,49 @@ def score_table(df: DataFrame, label: str, score: str, weight: Column | None = N
 
 
 def curve(st: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Adds tp / fp = positives / negatives with score >= this score, and the
-    class totals P / N, for every distinct score."""
-    g = list(group) or ["_all"]
-    if not group:
-        st = st.withColumn("_all", F.lit(0))
+    """Adds tp / fp = positives / negatives with score >= this score, for every
+    distinct score."""
     c = running_sums(st.withColumn("_desc", -F.col("score")), ["_desc"],
-                     {"pos": F.col("pos"), "neg": F.col("neg")}, g)
-    tot = st.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row per group
-    c = c.join(F.broadcast(tot), g)
-    return c.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}).drop("_desc", "_all")
+                     {"pos": F.col("pos"), "neg": F.col("neg")}, list(group))
+    return c.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"}).drop("_desc")
 
 
-def auroc_from_curve(c: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+def _auroc() -> Column:
     """Area under the ROC curve, ties counted half."""
     term = F.col("neg") * (F.col("tp") - F.lit(0.5) * F.col("pos"))
-    return c.groupBy(*group).agg(F.round(F.sum(term) / (F.first("P") * F.first("N")), DIGITS).alias("auroc"))
+    return F.round(F.sum(term) / (F.sum("pos") * F.sum("neg")), DIGITS).alias("auroc")
 
 
-def ap_from_curve(c: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Average precision: sum over thresholds of recall step x precision."""
+def _average_precision() -> Column:
+    """Sum over thresholds of recall step x precision."""
     term = F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
-    return c.groupBy(*group).agg(F.round(F.sum(term) / F.first("P"), DIGITS).alias("avg_precision"))
+    return F.round(F.sum(term) / F.sum("pos"), DIGITS).alias("avg_precision")
+
+
+def ranking_from_curve(c: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """AUROC and AP of each group's curve, in one aggregate."""
+    return c.groupBy(*group).agg(_auroc(), _average_precision())
 
 
 def ranking_summary(df: DataFrame, label: str, score: str) -> DataFrame:
     """AUROC and AP from one curve (one pass of running sums)."""
-    c = curve(score_table(df, label, score))
-    return auroc_from_curve(c).join(ap_from_curve(c), how="inner")  # two one-row tables
+    return ranking_from_curve(curve(score_table(df, label, score)))
 
 
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
-    return auroc_from_curve(curve(score_table(df, label, score)))
+    return ranking_summary(df, label, score).select("auroc")
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
-    return ap_from_curve(curve(score_table(df, label, score)))
+    return ranking_summary(df, label, score).select("avg_precision")
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, plus the start point at
     max score + 1 where nothing is predicted positive."""
-    c = curve(score_table(df, label, score))
+    st = score_table(df, label, score)
+    total = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).withColumn("_one", F.lit(1))
+    c = curve(st).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
     pts = c.select(F.col("score").alias("threshold"), F.round(F.col("fp") / F.col("N"), DIGITS).alias("fpr"),
                    F.round(F.col("tp") / F.col("P"), DIGITS).alias("tpr"))
     start = df.agg((F.max(score) + 1).cast("double").alias("threshold")).select(
@@ -106,29 +105,57 @@ def class_metrics(df: DataFrame, y: str, yhat: str, beta: float = 2.0) -> DataFr
                     F.round(fb(1.0), DIGITS).alias("f1"), F.round(fb(b2), DIGITS).alias(f"f{int(beta)}"))
 
 
-def poisson_weight(key: Column, replicate: Column) -> Column:
-    """Poisson(1) weight of a row in a replicate, from md5(key # replicate):
-    the weight is the number of CDF steps the hash-uniform value passes."""
-    h = F.md5(F.concat(key.cast("string"), F.lit("#"), replicate.cast("string")))
-    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(float(16 ** 8))
-    w = F.lit(0)
-    for p in POISSON1_CDF:
-        w = w + (u > F.lit(p)).cast("int")
-    return w.cast("double")
+def poisson_cdf(mean: int) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... until it is 1 to within 1e-12."""
+    out, term = [], math.exp(-mean)
+    while not out or 1 - out[-1] > 1e-12 and len(out) < 12 * mean + 20:
+        out.append((out[-1] if out else 0.0) + term)
+        term *= mean / len(out)
+    return out
+
+
+#: Means that are drawn by inverse distribution function; their binary sums give 0..15.
+POISSON_CDF = {j: poisson_cdf(j) for j in (1, 2, 4, 8)}
+
+
+def with_poisson(df: DataFrame, n: str, key: str, name: str) -> DataFrame:
+    """Adds ``name``: a Poisson(n) draw that depends on the text ``key`` alone.
+
+    n independent Poisson(1) weights sum to Poisson(n). Below 16 it is the sum of the
+    draws for the binary digits of n; from 16 up the rounded normal approximation.
+    Uniform numbers are the four 32-bit pieces of md5(key)."""
+    df = df.withColumn("_h", F.md5(key))
+    df = df.withColumns({f"_u{i}": F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0 for i in range(4)})
+
+    def steps(u: Column, cdf: list[float]) -> Column:
+        out = F.when(u <= F.lit(cdf[0]), 0)
+        for k, p in enumerate(cdf[1:], 1):
+            out = out.when(u <= F.lit(p), k)
+        return out.otherwise(len(cdf))
+
+    small = sum((F.when(F.col(n).cast("long").bitwiseAND(j) > 0, steps(F.col(f"_u{i}"), cdf)).otherwise(F.lit(0))
+                 for i, (j, cdf) in enumerate(POISSON_CDF.items())), F.lit(0))
+    z = F.sqrt(-2 * F.ln(1 - F.col("_u0"))) * F.cos(2 * math.pi * F.col("_u1"))
+    large = F.greatest(F.lit(0.0), F.floor(F.col(n) + F.sqrt(F.col(n).cast("double")) * z + 0.5).cast("double"))
+    draw = F.when(F.col(n) < 16, small.cast("double")).otherwise(large)
+    return df.withColumn(name, draw).drop("_h", *[f"_u{i}" for i in range(4)])
 
 
-def bootstrap_ci(df: DataFrame, key: str, label: str, score: str, n_resamples: int = 99,
-                 alpha: float = 0.05) -> DataFrame:
+def bootstrap_ci(df: DataFrame, label: str, score: str, n_resamples: int = 999, alpha: float = 0.05) -> DataFrame:
     """Paired percentile interval of AUROC and AP by the Poisson bootstrap.
 
-    Each row is expanded into ``n_resamples`` weighted copies (a generator, not a
-    join) and immediately reduced to (replicate, score) by a partial aggregate,
-    so what is shuffled is replicates x distinct scores, not replicates x rows."""
+    Rows are first reduced to one per distinct score with its positives and negatives;
+    a replicate then draws how often each of the two counts occurs. So the work is
+    replicates x distinct scores, whatever the number of rows."""
+    st = score_table(df.where(F.col(label).isNotNull()), label, score)
     b = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b")
-    rep = df.select(F.col(key), F.col(label), F.col(score), b)
-    st = score_table(rep, label, score, poisson_weight(F.col(key), F.col("b")), ["b"])
-    c = curve(st.where((F.col("pos") + F.col("neg")) > 0), ["b"])
-    per_b = auroc_from_curve(c, ["b"]).join(ap_from_curve(c, ["b"]), "b")
+    rep = st.select("score", "pos", "neg", b)
+    tag = F.concat_ws("|", F.round(F.col("score") * 1000000).cast("bigint").cast("string"), F.col("b").cast("string"))
+    rep = rep.withColumns({"_kp": F.concat(tag, F.lit("|1")), "_kn": F.concat(tag, F.lit("|0"))})
+    rep = with_poisson(with_poisson(rep, "pos", "_kp", "wp"), "neg", "_kn", "wn")
+    rep = rep.select("b", "score", F.col("wp").alias("pos"), F.col("wn").alias("neg"))
+    c = curve(rep.where((F.col("pos") + F.col("neg")) > 0), ["b"])
+    per_b = ranking_from_curve(c, ["b"])
     lo, hi = alpha / 2, 1 - alpha / 2
     return per_b.agg(F.round(F.percentile("auroc", lo), DIGITS).alias("auroc_lower"),
                      F.round(F.percentile("auroc", hi), DIGITS).alias("auroc_upper"),

@@ -25,21 +25,24 @@ from wardlens.operators import split as sp
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Balanced weights n / (2 n_c) as a column (two-row table, broadcast)."""
-    w = sp.class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(F.broadcast(w), label)
+    """Balanced weights n / (k n_c) as a column. Rows without a label cannot be fitted
+    and are left out."""
+    w = sp.class_weights(df.where(F.col(label).isNotNull()), label).select(label, F.col("weight").alias(name))
+    return df.join(w, label)
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+# Sizes are parameters; the defaults are 50 and 30 iterations, 20 boosting rounds of
+# depth 3 and 100 trees of depth 5.
 ESTIMATORS = {
     "logreg": lambda p: LogisticRegression(maxIter=p.get("maxIter", 50), regParam=p.get("regParam", 0.0),
                                            elasticNetParam=p.get("elasticNetParam", 0.0), weightCol="weight"),
     "svc": lambda p: LinearSVC(maxIter=p.get("maxIter", 30), regParam=p.get("regParam", 0.01), weightCol="weight"),
-    "gbt": lambda p: GBTClassifier(maxIter=p.get("maxIter", 10), maxDepth=p.get("maxDepth", 3), weightCol="weight", seed=42),
-    "rf": lambda p: RandomForestClassifier(numTrees=p.get("numTrees", 20), maxDepth=p.get("maxDepth", 5),
+    "gbt": lambda p: GBTClassifier(maxIter=p.get("maxIter", 20), maxDepth=p.get("maxDepth", 3), weightCol="weight", seed=42),
+    "rf": lambda p: RandomForestClassifier(numTrees=p.get("numTrees", 100), maxDepth=p.get("maxDepth", 5),
                                            weightCol="weight", seed=42),
 }
 
@@ -61,12 +64,15 @@ def fit_and_score(train: DataFrame, test: DataFrame, key: str, label: str, featu
 
 
 def calibrated_scores(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
-                      k: int = 3, estimator: str = "logreg") -> DataFrame:
+                      k: int = 5, estimator: str = "logreg") -> DataFrame:
     """Isotonic calibration on cross-validated folds: per fold, fit on the other
     folds, fit an isotonic map on the held-out scores, calibrate the test scores;
-    the result is the mean of the k calibrated scores."""
-    folds = sp.stratified_kfold(train, key, label, k)
-    parts = None
+    the result is the mean of the k calibrated scores. Held-out scores are reduced to
+    one weighted row per distinct score before the isotonic fit, and the test rows are
+    scored by all folds in one pass, without joins."""
+    folds = sp.stratified_kfold(train.where(F.col(label).isNotNull()), key, label, k)
+    t = assemble(test, features).select(key, F.col(label).cast("int").alias("label"), "features")
+    done: list[str] = []
     for f in range(k):
         fit_part = folds.where(F.col("fold") != f)
         held = folds.where(F.col("fold") == f)
@@ -74,13 +80,15 @@ def calibrated_scores(train: DataFrame, test: DataFrame, key: str, label: str, f
         model = est.fit(assemble(with_class_weight(fit_part, label), features))
         h = model.transform(assemble(held, features))
         h = h.select(F.col(label).cast("double").alias("y"), positive_score(h).alias("s"))
-        iso = IsotonicRegression(featuresCol="sv", labelCol="y").fit(assemble(h, ["s"], "sv"))
-        t = model.transform(assemble(test, features))
-        t = t.select(key, F.col(label).cast("int").alias("label"), positive_score(t).alias("s"))
-        cal = iso.transform(assemble(t, ["s"], "sv")).select(key, "label", F.col("prediction").alias(f"p{f}"))
-        parts = cal if parts is None else parts.join(cal.drop("label"), key)
-    mean = sum(F.col(f"p{f}") for f in range(k)) / F.lit(float(k))
-    return parts.select(key, "label", mean.alias("score"))
+        h = h.groupBy("s").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+        iso = IsotonicRegression(featuresCol="sv", labelCol="y", weightCol="w").fit(assemble(h, ["s"], "sv"))
+        t = model.transform(t)
+        t = t.select(key, "label", "features", *done, positive_score(t).alias("s"))
+        t = iso.transform(assemble(t, ["s"], "sv"))
+        t = t.select(key, "label", "features", *done, F.col("prediction").alias(f"p{f}"))
+        done.append(f"p{f}")
+    mean = sum(F.col(p) for p in done) / F.lit(float(k))
+    return t.select(key, "label", mean.alias("score"))
 
 
 class AveragePrecisionEvaluator(Evaluator):
@@ -99,7 +107,7 @@ class AveragePrecisionEvaluator(Evaluator):
         return True
 
 
-def tune(train: DataFrame, label: str, features: Sequence[str], key: str, k: int = 3,
+def tune(train: DataFrame, label: str, features: Sequence[str], key: str, k: int = 5,
          reg_params: Sequence[float] = (0.0, 0.1), elastic: Sequence[float] = (0.0, 0.5),
          parallelism: int = 2) -> DataFrame:
     """Grid search of logistic regression by cross-validated exact AP; folds are
@@ -115,10 +123,15 @@ def tune(train: DataFrame, label: str, features: Sequence[str], key: str, k: int
     return train.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, mean_ap double")
 
 
+def with_tokens(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds ``name``: the lower-cased runs of letters and digits of ``text`` (none if null)."""
+    return df.withColumn(name, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
 def text_scores(train: DataFrame, test: DataFrame, key: str, text: str, label: str,
                 num_features: int = 1 << 16) -> DataFrame:
     """Hashed term frequencies + IDF + weighted logistic regression on whole texts."""
-    tok = lambda df: df.withColumn("_tokens", F.split(F.lower(F.col(text)), "[^\\\\p{L}\\\\p{N}]+"))
+    tok = lambda df: with_tokens(df, text, "_tokens")
     pipe = Pipeline(stages=[HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
                             IDF(inputCol="_tf", outputCol="features"),
                             LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight", labelCol=label)])

@@ -63,11 +63,13 @@ def column_kinds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def describe_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, n_levels, levels) for categorical columns. ``collect_set`` is
-    partially aggregated and bounded by the column's cardinality."""
-    agg = df.agg(*[F.array_sort(F.collect_set(F.col(c))).alias(c) for c in cols])
-    long = agg.unpivot([], list(cols), "col_name", "lv")
-    return long.select("col_name", F.size("lv").alias("n_levels"), F.array_join("lv", ",").alias("levels"))
+    """(column, n_levels, levels) for categorical columns. Values are made distinct by a
+    partial aggregate first; each column's list holds its distinct levels once."""
+    from wardlens.operators.features import levels_table
+    per = levels_table(df, cols).groupBy("col_name").agg(F.array_sort(F.collect_list("level")).alias("lv"))
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("col_name"))
+    lv = F.coalesce("lv", F.array().cast("array<string>"))
+    return names.join(per, "col_name", "left").select("col_name", F.size(lv).alias("n_levels"), F.array_join(lv, ",").alias("levels"))
 
 
 def confusion(df: DataFrame, y: str, yhat: str) -> DataFrame:

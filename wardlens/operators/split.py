@@ -1,8 +1,8 @@
 """Splits and class balance.
 
-Row numbers are taken with ``ranking.ranks`` (range-partitioned, two-phase), so
-a class holding most rows is still spread over all tasks. Orders use
-``md5(key)`` so another engine can repeat the assignment.
+Row numbers are taken with ``ranking.ranks`` (two levels of windows), so a class
+holding most rows is still spread over all tasks. Orders use ``md5(key)`` so another
+engine can repeat the assignment. Rows with a missing label are a class of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ def _hash_key(key: str):
 
 def _with_class_counts(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    return df.join(F.broadcast(counts), label)  # one row per class
+    counts = counts.select(F.struct(label).alias("_class"), "_class_n")  # never null
+    return df.withColumn("_class", F.struct(label)).join(counts, "_class").drop("_class")
 
 
 def ranked(df: DataFrame, key: str, label: str | None = None) -> DataFrame:
@@ -29,11 +30,19 @@ def ranked(df: DataFrame, key: str, label: str | None = None) -> DataFrame:
 
 
 def time_split(df: DataFrame, order: list[str], test_size: float = 0.33) -> DataFrame:
-    """Unshuffled cut: the last ceil(test_size * n) rows in ``order`` are test."""
-    n = df.count()
+    """Unshuffled cut: the last ceil(test_size * n) rows in ``order`` are test. Only the
+    order columns are ranked; the first test row's key comes back and every row is
+    compared with it in place."""
+    keys = df.select(*order)
+    n = keys.count()
     n_test = -(-int(round(test_size * n * 1e9)) // int(1e9)) if n else 0
-    r = ranks(df, order, [], "_rank")
-    return r.withColumn("split", F.when(F.col("_rank") <= F.lit(n - n_test), "train").otherwise("test")).drop("_rank")
+    first = ranks(keys, order, [], "_rank").where(F.col("_rank") == n - n_test + 1).first() if n_test else None
+    if first is None:
+        return df.withColumn("split", F.lit("train"))
+    test = F.lit(False)
+    for o in reversed(order):
+        test = (F.col(o) > F.lit(first[o])) | ((F.col(o) == F.lit(first[o])) & (test if o != order[-1] else F.lit(True)))
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
@@ -59,31 +68,34 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
 
 def rebalance_under(df: DataFrame, key: str, label: str) -> DataFrame:
     """Keep min(class sizes) rows of every class (first in md5 order)."""
-    r = _with_class_counts(ranked(df, key, label), label)
     smallest = df.groupBy(label).count().agg(F.min("count").alias("_m")).first()["_m"]  # one number back
-    return r.where(F.col("_rank") <= F.lit(smallest)).drop("_rank", "_class_n")
+    return ranked(df, key, label).where(F.col("_rank") <= F.lit(smallest)).drop("_rank")
 
 
 def rebalance_over(df: DataFrame, key: str, label: str, minority_share: float = 0.4) -> DataFrame:
     """Replicate the minority class until it is ``minority_share`` of the result:
     target = ceil(n_major * share / (1 - share)); copies are taken in md5 order,
-    whole rounds first (``copy`` numbers the round)."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
-    minority = min(counts, key=lambda c: (counts[c], c))
-    major_n = max(counts.values())
-    n_min = counts[minority]
+    whole rounds first (``copy`` numbers the round). Unlabelled rows are neither the
+    minority nor the majority and stay as they are."""
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).count()
+    row = sizes.agg(F.min(F.struct("count", label)).alias("low"), F.max("count").alias("high")).first()  # one row back
+    if row["low"] is None:
+        return df.withColumn("copy", F.lit(1))
+    n_min, minority, major_n = row["low"]["count"], row["low"][label], row["high"]
     target = -(-int(major_n * minority_share * 1e6) // int((1 - minority_share) * 1e6))
     target = max(target, n_min)
     rounds = -(-target // n_min)
+    small = F.coalesce(F.col(label) == F.lit(minority), F.lit(False))
     r = ranked(df, key, label)
-    copies = F.when(F.col(label) == F.lit(minority), F.sequence(F.lit(1), F.lit(rounds))).otherwise(F.array(F.lit(1)))
+    copies = F.when(small, F.sequence(F.lit(1), F.lit(rounds))).otherwise(F.array(F.lit(1)))
     rep = r.withColumn("copy", F.explode(copies))
-    keep = (F.col(label) != F.lit(minority)) | ((F.col("copy") - 1) * F.lit(n_min) + F.col("_rank") <= F.lit(target))
+    keep = ~small | ((F.col("copy") - 1) * F.lit(n_min) + F.col("_rank") <= F.lit(target))
     return rep.where(keep).drop("_rank")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """(label, n, weight = n_total / (n_classes * n_class))."""
+    """(label, n, weight = n_total / (n_classes * n_class)); a missing label counts in
+    the total and has a weight but is no class."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     tot = df.agg(F.count(F.lit(1)).alias("t"), F.count_distinct(label).alias("k")).first()
     return c.withColumn("weight", F.round(F.lit(tot["t"]) / (F.lit(tot["k"]) * F.col("n")), 6))

@@ -111,6 +111,12 @@ def ref_hsmr(spark: SparkSession) -> DataFrame:
     return spark.range(1, 250).select(F.col("id").alias("grp"), (F.col("id") % 56 + 1).alias("agg_grp"))
 
 
+def ref_shmi(spark: SparkSession) -> DataFrame:
+    """Group -> SHMI group and its description, groups 1..255."""
+    shmi = (F.col("id") * 7 % 142 + 1).alias("shmi_grp")
+    return spark.range(1, 256).select(F.col("id").alias("grp"), shmi, F.concat(F.lit("shmi "), shmi.cast("string")).alias("shmi_desc"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary label and a rounded, heavily tied score per order."""
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
@@ -148,6 +154,7 @@ SQL = {
     "ref_ccs": """select concat(chr(cast(65 + i as int)), lpad(cast(n as varchar), 2, '0'), sfx) code, (i * k + n) % 258 + 1 grp
  from range(26) t(i) cross join range(100) u(n) cross join (values ('', 3, 1), ('1', 5, 3), ('12', 7, 7)) v(sfx, m, k) where n % m = 0""",
     "ref_hsmr": """select id grp, id % 56 + 1 agg_grp from range(1, 250) t(id)""",
+    "ref_shmi": """select id grp, id * 7 % 142 + 1 shmi_grp, 'shmi ' || (id * 7 % 142 + 1)::varchar shmi_desc from range(1, 256) t(id)""",
     "scores": """select o_orderkey spell_id, case when o_orderstatus = 'F' then 1 else 0 end label, round(o_totalprice / 1000) score from orders""",
 }
 

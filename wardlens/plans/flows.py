@@ -58,10 +58,11 @@ def clean_all(obs: DataFrame, patient: str = "patient_id", ts: str = "taken", ke
     return o.withColumn("readmission", dv.readmission(F.col("prev_gap_s"), 30)).drop("prev_gap_s", "next_gap_s")
 
 
-def augment(stays: DataFrame, charlson: DataFrame, within: float = 4,
-            wards: Sequence[str] = dv.CRITICAL_WARDS_H1, ignore_admit_ward: bool = False) -> DataFrame:
+def augment(stays: DataFrame, charlson: DataFrame, within: float = 1,
+            wards: Sequence[str] = dv.CRITICAL_WARDS, ignore_admit_ward: bool = True) -> DataFrame:
     """Outcome columns in one projection, readmission by one window, Charlson by
-    one keyed join."""
+    one keyed join. Defaults: events within a day, on the CCU ward, not counting the
+    admission ward."""
     p, died, los = F.col("path"), F.col("died_flag"), F.col("total_los")
     s = stays.withColumns({
         "mortality": dv.mortality(died, los, within),

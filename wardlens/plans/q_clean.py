@@ -221,7 +221,5 @@ _TEXT_O = f"case when trim(lower(complaint), ' .?+') in ({_in(tx.VAGUE_TERMS)})
         ("tn", "select c from nn where c is not null group by c order by count(*) desc, c limit 50"),
         ("tol", "select c from oo where c is not null group by c order by count(*) desc, c limit 50")]))
 def q_clean_text_topn(spark, d):
-    c = fx.complaints(spark, d).select("item_id", "complaint")
-    a = clean_text_new(c).withColumnRenamed("complaint", "complaint_new")
-    b = clean_text_old(c).withColumnRenamed("complaint", "complaint_old")
-    return a.join(b, "item_id")
+    c = fx.complaints(spark, d).select("item_id", F.col("complaint").alias("complaint_new"), F.col("complaint").alias("complaint_old"))
+    return clean_text_old(clean_text_new(c, "complaint_new"), "complaint_old")

@@ -273,13 +273,15 @@ def q_drop_redundant(spark, d):
     return pj.drop_tolerant(fx.spells(spark, d), ps.SPELL_REDUNDANT)
 
 
-@query("raw_vs_scored", v("select r.spell_id, r.n_raw, s.n_scored from (select spell_id, 3 n_raw from spells) r join (select spell_id, 1 n_scored from spells) s using (spell_id)",
-                          "spells"))
+_RAW_SCORED = ["spell_id", "age", "resp_rate", "resp_score", "sbp", "dbp"]
+
+
+@query("raw_vs_scored", v("""select 'raw' layout, spell_id, age, resp_rate, sbp, dbp, null::double resp_score from spells
+ union all select 'scored', spell_id, age, null, null, null, resp_score from spells""", "spells"))
 def q_raw_vs_scored(spark, d):
-    s = fx.spells(spark, d)
-    raw = ps.raw_only(s).select("spell_id", F.lit(len([c for c in ps.raw_only(s).columns if c in ps.SPELL_RAW])).alias("n_raw"))
-    scored = ps.scored_only(s).select("spell_id", F.lit(len([c for c in ps.scored_only(s).columns if c in ps.SPELL_SCORED])).alias("n_scored"))
-    return raw.join(scored, "spell_id")
+    s = fx.spells(spark, d).select(*_RAW_SCORED)
+    raw, scored = ps.raw_only(s).withColumn("layout", F.lit("raw")), ps.scored_only(s).withColumn("layout", F.lit("scored"))
+    return raw.unionByName(scored, allowMissingColumns=True)
 
 
 @query("ordered_select", v("select spell_id, admitted, patient_id, age, gender, died, admit_method, specialty from spells", "spells"))

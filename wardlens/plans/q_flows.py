@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions import families as fam
 from wardlens.operators import derive as dv
-from wardlens.operators.ranking import exact_quantiles, running_sums
+from wardlens.operators.ranking import exact_quantiles
 from wardlens.plans import common as cm
 from wardlens.plans import fixtures as fx
 from wardlens.plans import flows as fl
@@ -114,14 +114,14 @@ def q_prep_clean_all(spark, d):
 
 
 _AUG_SQL = fx.with_views(
-    """select st.*, coalesce(st.died_flag and st.total_los <= 4, false) mortality, coalesce(cc.cc_time <= 4, false) critical_care,
- coalesce(st.died_flag and st.total_los <= 4, false) or coalesce(cc.cc_time <= 4, false) critical_event,
+    """select st.*, coalesce(st.died_flag and st.total_los <= 1, false) mortality, coalesce(cc.cc_time <= 1, false) critical_care,
+ coalesce(st.died_flag and st.total_los <= 1, false) or coalesce(cc.cc_time <= 1, false) critical_event,
  coalesce(st.admit_ward in ('AEC', 'AAA'), false) sent_to_sdec,
  coalesce(g.prev_gap_s < 30 * 86400, false) readmission, ch.charlson
  from stays st left join cc using (spell_id) left join gaps g using (spell_id) left join ch using (spell_id)""",
     "slots", "spells", "ref_codes", "ref_comorbid", "charlson_weights", extra=[
         ("steps", cm.SQL_STEPS), ("stays", cm.SQL_STAYS), ql.STD_CTE, ql.CLEAN_CTE,
-        ("cc", cm.sql_cc_time(["CCU", "HH1M"], False)),
+        ("cc", cm.sql_cc_time(["CCU"], True)),
         ("gaps", "select spell_id, case when patient_id is not null then epoch(admitted) - epoch(lag(admitted) over (partition by patient_id order by admitted, spell_id)) end prev_gap_s from spells"),
         ("ch", """select s.spell_id, cast(coalesce(w.w, 0) + case when age > 50 and age <= 59 then 1 when age > 60 and age <= 69 then 2
    when age > 70 and age <= 79 then 3 when age > 79 then 4 else 0 end as int) charlson
@@ -255,14 +255,11 @@ def event_day(spark, d, wards, ignore):
         ("ev", "select spell_id, greatest(ceil(least(cc.cc_time, case when died_flag then total_los end)), 1) ev_day from stays left join cc using (spell_id)")]))
 def q_label_rate_by_threshold(spark, d):
     ev = event_day(spark, d, ["CCU", "HH1M"], False)
-    n = ev.count()
-    per_day = ev.where(F.col("ev_day").isNotNull()).groupBy("ev_day").agg(F.count(F.lit(1)).alias("k"))
-    days = spark.range(1, 31).select(F.col("id").alias("threshold"))
-    # cumulative events by threshold: events on days 1..t (30 thresholds, one small join)
-    c = days.join(per_day, per_day.ev_day == days.threshold, "left").fillna(0, ["k"])
-    c = running_sums(c.select("threshold", "k"), ["threshold"], {"k": F.col("k")})
-    return c.select("threshold", F.col("cum_k").cast("bigint").alias("n_events"),
-                    F.round(F.col("cum_k") / F.lit(n), 6).alias("rate"))
+    days = ev.groupBy(F.least("ev_day", F.lit(31)).alias("day")).agg(F.count(F.lit(1)).alias("k"))  # 32 rows at most
+    counts = [F.coalesce(F.sum(F.when(F.col("day") <= t, F.col("k"))), F.lit(0)).alias(f"t{t}") for t in range(1, 31)]
+    one = days.agg(F.sum("k").alias("n"), *counts)
+    rows = F.explode(F.array(*[F.struct(F.lit(t).cast("bigint").alias("threshold"), F.col(f"t{t}").alias("n_events")) for t in range(1, 31)]))
+    return one.select("n", rows.alias("r")).select("r.threshold", "r.n_events", F.round(F.col("r.n_events") / F.col("n"), 6).alias("rate"))
 
 
 @query("label_rate_by_definition", fx.with_views(" union all ".join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardlens.functions import codes as cd
@@ -11,13 +13,13 @@ from wardlens.operators.derive import charlson_age_points
 from wardlens.plans import common as cm
 from wardlens.plans import fixtures as fx
 from wardlens.plans.registry import query
-from wardlens.sources import read_table
+from wardlens.session import scratch_path
+from wardlens.sources import read_json_map, read_table, write_table
 
 STD_SQL = """case when regexp_matches(s1, '[A-Z]$') then left(s1, greatest(length(s1) - 1, 0)) else s1 end"""
 STEP1_SQL = """case when contains(code, ' ') or ends_with(code, '.X') then left(code, greatest(length(code) - 2, 0)) else code end"""
 STD_CTE = ("std", f"select spell_id, slot, code code_raw, {STD_SQL} code from (select *, {STEP1_SQL} s1 from slots) t")
 CLEAN_CTE = ("clean", "select spell_id, slot, code_raw, case when code in (select code from ref_codes) then code end code from std")
-REF_CODES_N, REF_CCS_N, REF_HSMR_N = 7800, 1794, 249
 ALL_WANTED = ["A60", "B25.1"]
 ANY_WANTED = ["L09.1", "M88", "P57.99"]
 
@@ -32,7 +34,7 @@ def std_codes(spark, d):
 
 
 def clean_codes(spark, d):
-    return lk.keep_members(std_codes(spark, d), "code", fx.ref_codes(spark), "code", known_rows=REF_CODES_N)
+    return lk.keep_members(std_codes(spark, d), "code", fx.ref_codes(spark), "code")
 
 
 def _joined(arr_expr):
@@ -71,7 +73,7 @@ CASCADE_CTE = ("casc", """select spell_id, slot, std.code, case when std.code is
 
 def cascade(spark, d):
     return lk.cascade_join(std_codes(spark, d), "code", fx.ref_ccs(spark), "code", "grp", "grp",
-                           prefixes=(3, 4), sentinel=lk.CCS_SENTINEL, known_rows=REF_CCS_N)
+                           prefixes=(3, 4), sentinel=lk.CCS_SENTINEL)
 
 
 @query("fuzzy_group_join", v("select spell_id, slot, code, grp from casc", "slots", "ref_ccs", extra=[STD_CTE, CASCADE_CTE]))
@@ -83,19 +85,19 @@ def q_fuzzy_group_join(spark, d):
                           "slots", "ref_ccs", "ref_hsmr", extra=[STD_CTE, CASCADE_CTE]))
 def q_regroup_codes(spark, d):
     c = cascade(spark, d).select("spell_id", "slot", "grp")
-    return lk.lookup_join(c, "grp", fx.ref_hsmr(spark), "grp", ["agg_grp"], known_rows=REF_HSMR_N)
+    return lk.lookup_join(c, "grp", fx.ref_hsmr(spark), "grp", ["agg_grp"])
 
 
 def derive_groups(spark, d, grouping="HSMR"):
     """Clean codes, cascade to CCS groups, optionally regroup; packed per stay."""
     lk.check_grouping(grouping)
-    c = lk.cascade_join(clean_codes(spark, d), "code", fx.ref_ccs(spark), "code", "grp", "grp", known_rows=REF_CCS_N)
+    c = lk.cascade_join(clean_codes(spark, d), "code", fx.ref_ccs(spark), "code", "grp", "grp")
     if grouping == "HSMR":
-        c = lk.lookup_join(c, "grp", fx.ref_hsmr(spark), "grp", ["agg_grp"], known_rows=REF_HSMR_N)
+        c = lk.lookup_join(c, "grp", fx.ref_hsmr(spark), "grp", ["agg_grp"])
         val = "agg_grp"
     elif grouping == "SHMI":
-        c = c.withColumn("shmi", F.col("grp") % 40 + 1)  # fixture SHMI grouping: rule on the CCS group
-        val = "shmi"
+        c = lk.lookup_join(c, "grp", fx.ref_shmi(spark), "grp", ["shmi_grp"])
+        val = "shmi_grp"
     else:
         val = "grp"
     return packed(c, val, "groups").select("spell_id", _joined(F.col("groups")).alias("groups"))
@@ -109,6 +111,76 @@ def q_derive_groups(spark, d):
     return derive_groups(spark, d, "HSMR")
 
 
+_CASC2 = ("casc2", CASCADE_CTE[1].replace("from std", "from clean").replace("std.code", "clean.code"))
+
+
+@query("derive_groups_shmi", v(
+    """select spell_id, string_agg(coalesce(cast(h.shmi_grp as varchar), '~'), ',' order by slot) groups
+ from casc2 left join ref_shmi h on h.grp = casc2.grp group by spell_id""", "slots", "ref_codes", "ref_ccs", "ref_shmi",
+    extra=[STD_CTE, CLEAN_CTE, _CASC2]))
+def q_derive_groups_shmi(spark, d):
+    return derive_groups(spark, d, "SHMI")
+
+
+@query("derive_groups_ccs", v("select spell_id, string_agg(coalesce(cast(grp as varchar), '~'), ',' order by slot) groups from casc2 group by spell_id",
+                              "slots", "ref_codes", "ref_ccs", extra=[STD_CTE, CLEAN_CTE, _CASC2]))
+def q_derive_groups_ccs(spark, d):
+    return derive_groups(spark, d, None)
+
+
+@query("group_descriptions", v(
+    """select spell_id, slot, casc2.grp, h.agg_grp, 'aggregate ' || h.agg_grp::varchar hsmr_desc, m.shmi_grp, m.shmi_desc
+ from casc2 left join ref_hsmr h on h.grp = casc2.grp left join ref_shmi m on m.grp = casc2.grp""",
+    "slots", "ref_codes", "ref_ccs", "ref_hsmr", "ref_shmi", extra=[STD_CTE, CLEAN_CTE, _CASC2]))
+def q_group_descriptions(spark, d):
+    c = lk.cascade_join(clean_codes(spark, d), "code", fx.ref_ccs(spark), "code", "grp", "grp")
+    hsmr = fx.ref_hsmr(spark).withColumn("hsmr_desc", F.concat(F.lit("aggregate "), F.col("agg_grp").cast("string")))
+    c = lk.lookup_join(c, "grp", hsmr, "grp", ["agg_grp", "hsmr_desc"])
+    c = lk.lookup_join(c, "grp", fx.ref_shmi(spark), "grp", ["shmi_grp", "shmi_desc"])
+    return c.select("spell_id", "slot", "grp", "agg_grp", "hsmr_desc", "shmi_grp", "shmi_desc")
+
+
+def code_levels(df, lookup, code, levels=("chapter", "group", "code3"), drop_code=True):
+    """Joins any of a diagnosis code's chapter, group and 3-character code; the full
+    code goes unless it is kept."""
+    cols = {"chapter": ["chapter_no", "chapter_desc"], "group": ["group_code"], "code3": []}
+    want = [c for level in levels for c in cols[level]]
+    out = df.withColumn("code3", cd.stem3(code))
+    out = lk.lookup_join(out, "code3", lookup, "code3", want) if want else out
+    return out.drop(*([] if "code3" in levels else ["code3"]), *([code] if drop_code else []))
+
+
+_LEVEL_SQL = "select spell_id, slot, {cols} from std left join ref_chapters c on c.code3 = split_part(std.code, '.', 1)"
+
+
+@query("code_levels_chapter", v(_LEVEL_SQL.format(cols="c.chapter_no, c.chapter_desc"), "slots", "ref_chapters", extra=[STD_CTE]))
+def q_code_levels_chapter(spark, d):
+    c = std_codes(spark, d).select("spell_id", "slot", "code")
+    return code_levels(c, fx.ref_chapters(spark), "code", ["chapter"])
+
+
+@query("code_levels_all", v(_LEVEL_SQL.format(cols="std.code, split_part(std.code, '.', 1) code3, c.chapter_no, c.chapter_desc, c.group_code"),
+                            "slots", "ref_chapters", extra=[STD_CTE]))
+def q_code_levels_all(spark, d):
+    c = std_codes(spark, d).select("spell_id", "slot", "code")
+    return code_levels(c, fx.ref_chapters(spark), "code", drop_code=False)
+
+
+@query("stored_lookup_join", v("select spell_id, slot, casc.grp, h.agg_grp, rc.condition from casc left join ref_hsmr h on h.grp = casc.grp left join ref_comorbid rc on rc.code3 = split_part(casc.code, '.', 1)",
+                               "slots", "ref_ccs", "ref_hsmr", "ref_comorbid", extra=[STD_CTE, CASCADE_CTE]))
+def q_stored_lookup_join(spark, d):
+    """Look-ups as a user has them: a Parquet table and a JSON map, read from storage."""
+    at = scratch_path(spark, f"lookups-{uuid.uuid4().hex}")
+    write_table(fx.ref_hsmr(spark), f"{at}/hsmr")
+    pairs = fx.ref_comorbid(spark).select("code3", "condition").distinct()
+    one = pairs.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("code3", "condition")))).alias("value"))  # a fixed list
+    one.write.text(f"{at}/comorbid")
+    c = lk.lookup_join(cascade(spark, d), "grp", spark.read.parquet(f"{at}/hsmr"), "grp", ["agg_grp"])
+    c = c.withColumn("code3", cd.stem3("code"))
+    c = lk.lookup_join(c, "code3", read_json_map(spark, f"{at}/comorbid", "k", "condition"), "k", ["condition"])
+    return c.select("spell_id", "slot", "grp", "agg_grp", "condition")
+
+
 _MAIN_CTE = ("main", f"select spell_id, code main_code from std where slot = (select min(slot) from slots s2 where s2.spell_id = std.spell_id)")
 
 
@@ -120,7 +192,7 @@ def q_prefix_join_chapter(spark, d):
     m = cm.paths(spark, d).select("spell_id", cd.standardise(F.try_element_at("path", F.lit(1))["code"]).alias("main_code"))
     m = m.withColumn("main_code3", cd.stem3("main_code"))
     j = lk.lookup_join(m, "main_code3", fx.ref_chapters(spark), "code3",
-                       ["chapter_no", "chapter_desc", "group_code"], known_rows=2600)
+                       ["chapter_no", "chapter_desc", "group_code"])
     return j.select("spell_id", "main_code3", "chapter_no", "chapter_desc", "group_code")
 
 
@@ -128,7 +200,7 @@ def q_prefix_join_chapter(spark, d):
                               "slots", "ref_codes", extra=[STD_CTE, _MAIN_CTE]))
 def q_join_descriptions(spark, d):
     m = cm.paths(spark, d).select("spell_id", cd.standardise(F.try_element_at("path", F.lit(1))["code"]).alias("main_code"))
-    j = lk.lookup_join(m, "main_code", fx.ref_codes(spark), "code", ["descr"], known_rows=REF_CODES_N)
+    j = lk.lookup_join(m, "main_code", fx.ref_codes(spark), "code", ["descr"])
     return j.withColumnRenamed("descr", "main_code_desc")
 
 
@@ -141,11 +213,11 @@ def q_join_descriptions(spark, d):
     extra=[STD_CTE, CLEAN_CTE, ("casc2", CASCADE_CTE[1].replace("from std", "from clean").replace("std.code", "clean.code"))]))
 def q_expand_descriptions(spark, d):
     c = clean_codes(spark, d)
-    c = lk.lookup_join(c, "code", fx.ref_codes(spark), "code", ["descr"], known_rows=REF_CODES_N)
-    c = lk.cascade_join(c, "code", fx.ref_ccs(spark), "code", "grp", "grp", known_rows=REF_CCS_N)
+    c = lk.lookup_join(c, "code", fx.ref_codes(spark), "code", ["descr"])
+    c = lk.cascade_join(c, "code", fx.ref_ccs(spark), "code", "grp", "grp")
     # the group -> description table is many-to-one: de-duplicate before joining
     gd = fx.ref_ccs(spark).select("grp").distinct().withColumn("grp_desc", F.concat(F.lit("group "), F.col("grp").cast("string")))
-    c = lk.lookup_join(c, "grp", gd, "grp", ["grp_desc"], known_rows=REF_CCS_N)
+    c = lk.lookup_join(c, "grp", gd, "grp", ["grp_desc"])
     return c.select("spell_id", "slot", F.col("descr").alias("code_desc"), "grp_desc")
 
 
@@ -225,8 +297,8 @@ def charlson(spark, d):
     """Comorbidity weights of the stay's cleaned 3-codes (each code counts) plus
     age points; long form + two broadcast joins + one partial aggregate."""
     c = clean_codes(spark, d).where(F.col("code").isNotNull()).select("spell_id", cd.stem3("code").alias("code3"))
-    c = lk.lookup_join(c, "code3", fx.ref_comorbid(spark), "code3", ["condition"], known_rows=2600)
-    c = lk.lookup_join(c, "condition", fx.charlson_weights(spark), "condition", ["weight"], known_rows=17)
+    c = lk.lookup_join(c, "code3", fx.ref_comorbid(spark), "code3", ["condition"])
+    c = lk.lookup_join(c, "condition", fx.charlson_weights(spark), "condition", ["weight"])
     w = c.groupBy("spell_id").agg(F.sum("weight").alias("w"))
     s = fx.spells(spark, d).select("spell_id", "age").join(w, "spell_id", "left")
     return s.select("spell_id", (F.coalesce(F.col("w"), F.lit(0)) + charlson_age_points("age")).cast("int").alias("charlson"))
@@ -244,7 +316,7 @@ def q_charlson(spark, d):
     return charlson(spark, d)
 
 
-_MULTI_WARDS = ["CCU", "HH1M", "AEC", "EAU"]
+_MULTI_WARDS = fx.FIXTURE_WARDS
 
 
 @query("multi_hot", v(

@@ -14,7 +14,7 @@ from wardlens.plans.registry import query
 from wardlens.sources import read_table
 
 FPR_TARGET = 0.05
-N_BOOT = 20
+N_BOOT = 999
 
 
 def v(body, *names, extra=()):
@@ -128,14 +128,22 @@ def q_class_metrics(spark, d):
     return mt.class_metrics(lb, "y", "p")
 
 
-def _poisson_sql(key, b):
-    u = f"(('0x' || substr(md5(cast({key} as varchar) || '#' || cast({b} as varchar)), 1, 8))::bigint / {float(16 ** 8)})"
-    return "cast(" + " + ".join(f"cast({u} > {p!r} as int)" for p in mt.POISSON1_CDF) + " as double)"
+def _poisson_sql(n, u):
+    small = " + ".join(f"case when ({n})::bigint & {j} > 0 then " + " + ".join(f"({u}{i} > {p!r})::int" for p in cdf) + " else 0 end"
+                       for i, (j, cdf) in enumerate(mt.POISSON_CDF.items()))
+    large = f"greatest(0.0, floor({n} + sqrt({n}::double) * (sqrt(-2 * ln(1 - {u}0)) * cos(2 * pi() * {u}1)) + 0.5))"
+    return f"case when {n} < 16 then ({small})::double else {large}::double end"
+
+
+def _uniforms(key, u):
+    return ", ".join(f"('0x' || substr(md5({key}), {8 * i + 1}, 8))::bigint / 4294967296.0::double {u}{i}" for i in range(4))
 
 
 _BOOT_CTES = [
-    ("rep", f"select b, score, label, {_poisson_sql('spell_id', 'b')} w from scores, range({N_BOOT}) r(b)"),
-    ("bst", "select b, score, sum(w * label) pos, sum(w * (1 - label)) neg from rep group by b, score having sum(w) > 0"),
+    ("rep0", f"select *, round(score * 1000000)::bigint::varchar || '|' || b::varchar k from st, range({N_BOOT}) r(b)"),
+    ("rep1", f"select b, score, pos, neg, {_uniforms("k || '|1'", 'p')}, {_uniforms("k || '|0'", 'n')} from rep0"),
+    ("rep", f"select b, score, {_poisson_sql('pos', 'p')} pos, {_poisson_sql('neg', 'n')} neg from rep1"),
+    ("bst", "select * from rep where pos + neg > 0"),
     ("bc", "select b, score, pos, neg, sum(pos) over (partition by b order by score desc) tp, sum(neg) over (partition by b order by score desc) fp from bst"),
     ("bt", "select b, sum(pos) p, sum(neg) n from bst group by b"),
     ("pb", f"select b, {_AUC_SQL} auroc, {_AP_SQL} avg_precision from bc join bt using (b) group by b"),
@@ -144,9 +152,9 @@ _BOOT_SQL = """select round(quantile_cont(auroc, 0.025), 9) auroc_lower, round(q
  round(quantile_cont(avg_precision, 0.025), 9) ap_lower, round(quantile_cont(avg_precision, 0.975), 9) ap_upper from pb"""
 
 
-@query("bootstrap_ci", v(_BOOT_SQL, "scores", extra=_BOOT_CTES))
+@query("bootstrap_ci", v(_BOOT_SQL, "scores", extra=_CURVE_CTES + _BOOT_CTES))
 def q_bootstrap_ci(spark, d):
-    return mt.bootstrap_ci(fx.scores(spark, d), "spell_id", "label", "score", N_BOOT)
+    return mt.bootstrap_ci(fx.scores(spark, d), "label", "score", N_BOOT)
 
 
 @query("metrics_row", v(
@@ -164,7 +172,7 @@ def q_metrics_row(spark, d):
     keys = spark.range(1).select(F.lit("price_rule").alias("name"), F.lit("rule").alias("estimator"),
                                  F.lit("none").alias("resampler"), F.lit("total_price").alias("features"),
                                  F.lit(1).alias("outcome_within"))
-    return (keys.join(a, how="inner").join(mt.bootstrap_ci(s, "spell_id", "label", "score", N_BOOT), how="inner")
+    return (keys.join(a, how="inner").join(mt.bootstrap_ci(s, "label", "score", N_BOOT), how="inner")
             .join(cm_, how="inner"))
 
 
@@ -194,10 +202,10 @@ def q_impute_static(spark, d):
  coalesce(resp_rate, -1) resp_filled, age age_back, gender gender_back, resp_rate resp_back from spells""", "spells"))
 def q_fill_unfill(spark, d):
     s = fx.spells(spark, d).select("spell_id", "age", "gender", "resp_rate")
-    filled = ft.fill_na(s, ["age", "gender", "resp_rate"])
-    back = ft.unfill_na(filled, ["age", "gender", "resp_rate"])
-    return filled.withColumnsRenamed({"age": "age_filled", "gender": "gender_filled", "resp_rate": "resp_filled"}).join(
-        back.withColumnsRenamed({"age": "age_back", "gender": "gender_back", "resp_rate": "resp_back"}), "spell_id")
+    names = {"age": ("age_filled", "age_back"), "gender": ("gender_filled", "gender_back"), "resp_rate": ("resp_filled", "resp_back")}
+    both = s.select("spell_id", *[F.col(c).alias(x) for c, pair in names.items() for x in pair])
+    filled = ft.fill_na(both, [x for pair in names.values() for x in pair])
+    return ft.unfill_na(filled, [back for _, back in names.values()])
 
 
 @query("ordinal_encode", v("""select spell_id,

@@ -15,7 +15,7 @@ from wardlens.plans import fixtures as fx
 from wardlens.plans.q_outcomes import critical_event_stays
 from wardlens.plans.registry import query
 from wardlens.session import scratch_path
-from wardlens.sources import read_table, union_parts, write_table
+from wardlens.sources import read_parts, read_table, union_parts, write_table
 
 SNAPSHOTS = ["Admission", "24HPostAdm", "24HPreDisch", "Discharge"]
 MEASURES = ["temperature", "heart_rate", "o2_sat", "resp_rate", "sbp", "dbp"]
@@ -49,6 +49,31 @@ def q_sink_roundtrip(spark, d):
     return spark.read.parquet(path)
 
 
+@query("read_parts", "select o_orderkey, o_custkey, o_orderdate from orders")
+def q_read_parts(spark, d):
+    """A table delivered in two parts, read as one."""
+    o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    at = scratch_path(spark, f"parts-{uuid.uuid4().hex}")
+    paths = [f"{at}/{k}" for k in range(2)]
+    for k, path in enumerate(paths):
+        write_table(o.where(F.col("o_orderkey") % 2 == k), path)
+    return read_parts(spark, paths)
+
+
+_SUMMARY = """select 'rows' metric, count(*)::double "value" from scores union all select 'positives', sum(label)::double from scores
+ union all select 'mean_score', round(avg(score), 6) from scores union all select 'max_score', max(score) from scores"""
+
+
+@query("sink_eval_summary", v(_SUMMARY, "scores"))
+def q_sink_eval_summary(spark, d):
+    """Evaluation summary written as a (metric, value) table and read back."""
+    agg = fx.scores(spark, d).agg(F.count(F.lit(1)).cast("double").alias("rows"), F.sum("label").cast("double").alias("positives"),
+                                  F.round(F.avg("score"), 6).alias("mean_score"), F.max("score").alias("max_score"))
+    path = scratch_path(spark, f"summary-{uuid.uuid4().hex}")
+    write_table(agg.unpivot([], agg.columns, "metric", "value"), path)
+    return spark.read.parquet(path)
+
+
 @query("sink_predictions_wide", v(
     "select spell_id, score price, cast(substr(o_orderpriority, 1, 1) as double) priority from scores join orders on o_orderkey = spell_id",
     "scores"))
@@ -58,7 +83,9 @@ def q_sink_predictions_wide(spark, d):
     pr = o.select(F.col("o_orderkey").alias("spell_id"), F.lit("priority").alias("model"),
                   F.substring("o_orderpriority", 1, 1).cast("double").alias("score"))
     long = sc.unionByName(pr)
-    return long.groupBy("spell_id").pivot("model", ["price", "priority"]).agg(F.first("score"))
+    path = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    write_table(long.groupBy("spell_id").pivot("model", ["price", "priority"]).agg(F.first("score")), path)
+    return spark.read.parquet(path)
 
 
 @query("sample_n", "select o_orderkey, o_totalprice from orders order by md5(cast(o_orderkey as varchar)), o_orderkey limit 100")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField,
@@ -53,16 +53,21 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None, nan_to_null: bool = True) -> DataFrame:
+               columns: Sequence[str] | None = None, nan_to_null: bool = True,
+               where: Column | None = None) -> DataFrame:
     """Scan one table with its declared schema, keeping only ``columns``.
 
     Double columns have NaN turned into null (NaN sorts above every number and is
     not "missing" to Spark's aggregates), which is the reference's missing marker.
+    ``where`` filters the raw columns first, so that it reaches the Parquet reader on
+    doubles too (NaN counts as larger than any number there).
     """
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     df = reader.parquet(table_path(sf_dir, name))
+    if where is not None:
+        df = df.where(where)
     if columns is not None:
         df = df.select(*columns)
     if nan_to_null:
