@@ -158,7 +158,7 @@ def test_simhash_edges(odd, none):
     assert set(got[got.doc_id.isin([5, 6])].component_id) == {5}
     assert simhash.simhash_groups(none).count() == 0
     one = simhash.keep_one(odd).toPandas()
-    assert list(one.columns) == odd.columns and sorted(one.doc_id.dropna()) == [1, 4, 5, 7, 8, 9, 10, 11, 12, 13]
+    assert list(one.columns) == odd.columns and sorted(one.doc_id.dropna()) == sorted(set(got.component_id.dropna()))
     assert simhash.keep_one(none).count() == 0
 
 
@@ -212,8 +212,7 @@ def test_mix_meets_targets(docs, docs_pdf):
     assert len(got) == len(docs_pdf) and ((got.taken == got.copies * got["size"]) & (got.copies <= 2)).all()
     for s, own in got.groupby("source"):
         assert math.isclose(own.target.iloc[0], want[s]) and own.source_size.iloc[0] == size[s]
-        left = own[own.taken < 2 * own["size"]]["size"]
-        assert abs(own.taken.sum() - want[s]) <= (left.max() / 2 if len(left) else 0) + 1
+        assert abs(own.taken.sum() - want[s]) <= own["size"].max() / 2 + 1
         assert all(len(p) == c and all(0 <= x <= 1 for x in p) for p, c in zip(own.positions, own.copies))
     again = mixing.curriculum(docs.repartition(3)).toPandas()
     key = ["doc_id", "taken"]
@@ -443,12 +442,12 @@ def test_gru_gradients_match_differences():
 
 
 def test_lanes_and_windows_cover_documents():
-    docs = [list(range(100 * i, 100 * i + n)) for i, n in enumerate((5, 40, 1, 17, 33, 2))]
+    docs = [np.arange(100 * i, 100 * i + n, dtype=np.int16) for i, n in enumerate((5, 40, 1, 17, 33, 2))]
     target, prev, fresh, doc, load = lm.lanes(docs, 3, 999)
     seen = Counter()
     for s, l in lm.windows(load, 7):
         seen.update(zip(doc[s, l].ravel().tolist(), target[s, l].ravel().tolist(), prev[s, l].ravel().tolist()))
-    assert seen == Counter((i, x, d[k - 1] if k else 999) for i, d in enumerate(docs) for k, x in enumerate(d))
+    assert seen == Counter((i, x, d[k - 1] if k else 999) for i, d in enumerate(x.tolist() for x in docs) for k, x in enumerate(d))
 
 
 def test_lm_scores(docs, docs_pdf, odd, none):

@@ -29,11 +29,11 @@ from wardlens.llm.common import WORD, stored
 SPACE = r"[\x20\x09-\x0D]+"
 #: Transformed statistic, and the floor of its standard deviation.
 FEATURES = {
-    "x0": ("ln(1 + n_words)", 0.5),
-    "x1": ("ln(1 + word_chars / n_words)", 0.1),
-    "x2": ("ln(1 + 100 * n_symbols / greatest(word_chars, 1))", 0.25),
-    "x3": ("n_dup_lines / greatest(n_lines, 1)", 0.15),
-    "x4": ("n_repeat_words / n_words", 0.08),
+    "_x0": ("ln(1 + n_words)", 0.5),
+    "_x1": ("ln(1 + word_chars / n_words)", 0.1),
+    "_x2": ("ln(1 + 100 * n_symbols / greatest(word_chars, 1))", 0.25),
+    "_x3": ("n_dup_lines / greatest(n_lines, 1)", 0.15),
+    "_x4": ("n_repeat_words / n_words", 0.08),
 }
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -108,61 +108,68 @@ def _whiten(moments: DataFrame, xs: list[str], floors: list[float], scale: float
         for j in range(i, -1, -1):
             acc = F.lit(1.0) if i == j else -sum((F.col(f"l_{i}{k}") * F.col(f"w_{k}{j}") for k in range(j, i)), F.lit(0.0))
             m = m.withColumn(f"w_{i}{j}", acc / F.col(f"l_{i}{i}"))
-    return m.select("g", *[f"m_{x}" for x in xs], *[f"w_{i}{j}" for i in p for j in range(i + 1)])
+    return m.select("_g", *[f"m_{x}" for x in xs], *[f"w_{i}{j}" for i in p for j in range(i + 1)])
 
 
-def grouped(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), least: int = 200, few: int = 50) -> DataFrame:
-    """``measured`` with its pool ``g`` (null: base_failed, or too few to judge)."""
+def pool_of(by: tuple[str, ...]) -> list[Column]:
+    """Names of the pools that a row can be in, from its own group to all rows."""
     cols = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by]
-    names = [F.to_json(F.array(*cols[:k])) if k else F.lit("[]") for k in range(len(by), -1, -1)]
+    return [F.to_json(F.array(*cols[:k])) if k else F.lit("[]") for k in range(len(by), -1, -1)]
+
+
+def pool_table(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), least: int = 200, few: int = 50) -> DataFrame:
+    """(_pool, _g): the pool that each group's rows are judged in (null: too few to judge).
+    Settled on a table of one row per group."""
+    names = pool_of(by)
     ok = measured.where(~F.col("base_failed"))
-    # pools are settled on a table of one row per group
     pools = ok.groupBy(names[0].alias("_g0"), *[n.alias(f"_g{i}") for i, n in enumerate(names[1:], 1)]).agg(F.count(F.lit(1)).alias("n"))
-    pools = pools.withColumn("g", F.when(F.col("n") >= least, F.col("_g0")))
+    pools = pools.withColumn("_g", F.when(F.col("n") >= least, F.col("_g0")))
     for k in range(1, len(names)):
-        left = F.sum(F.when(F.col("g").isNull(), F.col("n")).otherwise(0)).over(Window.partitionBy(f"_g{k}"))
-        pools = pools.withColumn("g", F.coalesce("g", F.when(left >= (least if k < len(names) - 1 else few), F.col(f"_g{k}"))))
-    pools = stored(pools.select(F.col("_g0").alias("_pool"), "g"), "quality-pools")
-    own = F.when(~F.col("base_failed"), names[0])
-    return measured.withColumn("_pool", own).join(pools, "_pool", "left").drop("_pool")
+        left = F.sum(F.when(F.col("_g").isNull(), F.col("n")).otherwise(0)).over(Window.partitionBy(f"_g{k}"))
+        pools = pools.withColumn("_g", F.coalesce("_g", F.when(left >= (least if k < len(names) - 1 else few), F.col(f"_g{k}"))))
+    return stored(pools.select(F.col("_g0").alias("_pool"), "_g"), "quality-pools")
 
 
 def estimates(rows: DataFrame, core: float = 0.75, steps: int = 4) -> DataFrame:
-    """Means and inverse Cholesky factors per ``g`` of ``rows`` (g and the features)."""
+    """Means and inverse Cholesky factors per ``_g`` of ``rows`` (_g and the features)."""
     xs, floors = list(FEATURES), [f for _, f in FEATURES.values()]
-    rows = rows.where(F.col("g").isNotNull()).select("g", *xs)
-    mid = stored(rows.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in xs]), "quality-medians")
-    off = rows.join(mid, "g").groupBy("g", *[f"m_{x}" for x in xs]).agg(
+    rows = rows.where(F.col("_g").isNotNull()).select("_g", *xs)
+    mid = stored(rows.groupBy("_g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in xs]), "quality-medians")
+    off = rows.join(mid, "_g").groupBy("_g", *[f"m_{x}" for x in xs]).agg(
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{x}")), 0.5, 1000).alias(f"d_{x}") for x in xs])
     start = {f"w_{i}{j}": 1 / F.greatest(1.4826 * F.col(f"d_{xs[i]}"), F.lit(floors[i])) if i == j else F.lit(0.0)
              for i in range(len(xs)) for j in range(i + 1)}
-    now = stored(off.select("g", *[f"m_{x}" for x in xs], *[v.alias(k) for k, v in start.items()]), "quality-estimates")
+    now = stored(off.select("_g", *[f"m_{x}" for x in xs], *[v.alias(k) for k, v in start.items()]), "quality-estimates")
     p = len(xs)
     scale = core / chi2_cdf(chi2_quantile(core, p), p + 2)
-    upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(steps):
-        d = rows.join(now, "g").select("g", *xs, F.floor(64 * F.ln(_distance(xs) + 1e-6)).alias("bin"))
-        bins = d.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
+        d = rows.join(now, "_g").select("_g", *xs, F.floor(64 * F.ln(_distance(xs) + 1e-6)).alias("bin"))
+        bins = d.groupBy("_g", "bin").agg(F.count(F.lit(1)).alias("n"))
         bins = bins.withColumns({"before": F.coalesce(F.sum("n").over(upto), F.lit(0)),
-                                 "all": F.sum("n").over(Window.partitionBy("g"))})
-        edge = bins.where(F.col("before") < core * F.col("all")).groupBy("g").agg(F.max("bin").alias("edge"))
-        near = d.join(edge, "g").where("bin <= edge")
+                                 "all": F.sum("n").over(Window.partitionBy("_g"))})
+        edge = bins.where(F.col("before") < core * F.col("all")).groupBy("_g").agg(F.max("bin").alias("edge"))
+        near = d.join(edge, "_g").where("bin <= edge")
         sums = {f"s_{x}": F.sum(x) for x in xs} | {
             f"s_{i}{j}": F.sum(F.col(xs[i]) * F.col(xs[j])) for i in range(p) for j in range(i + 1)}
-        moments = near.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
+        moments = near.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
         now = stored(_whiten(moments, xs, floors, scale), "quality-estimates")
     return now
 
 
-def judge(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), confidence: float = 1 - 1e-9, least: int = 200,
-          few: int = 50, core: float = 0.75, steps: int = 4) -> DataFrame:
-    """``measured`` (a stored result of ``measure``) with ``distance`` (null where not
-    judged) and ``kept``."""
+def judge(measured: DataFrame, stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), confidence: float = 1 - 1e-9,
+          least: int = 200, few: int = 50, core: float = 0.75, steps: int = 4) -> DataFrame:
+    """``measured`` with ``distance`` (null where not judged) and ``kept``, by estimates
+    over ``stats``, a stored result of ``measure`` without the texts."""
     xs = list(FEATURES)
-    g = grouped(measured, by, least, few)
-    g = g.withColumns({x: F.when(F.col("g").isNotNull(), F.expr(e)) for x, (e, _) in FEATURES.items()})
-    fit = estimates(stored(g.select("g", *xs), "quality-vectors"), core, steps)
-    out = g.join(fit, "g", "left").withColumn("distance", _distance(xs))
+    pools = pool_table(stats, by, least, few)
+
+    def vectors(m: DataFrame) -> DataFrame:
+        m = m.withColumn("_pool", F.when(~F.col("base_failed"), pool_of(by)[0])).join(pools, "_pool", "left").drop("_pool")
+        return m.withColumns({x: F.when(F.col("_g").isNotNull(), F.expr(e)) for x, (e, _) in FEATURES.items()})
+
+    fit = estimates(stored(vectors(stats).select("_g", *xs), "quality-vectors"), core, steps)
+    out = vectors(measured).join(fit, "_g", "left").withColumn("distance", _distance(xs))
     limit = F.lit(chi2_quantile(confidence, len(xs)))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
     return out.select(*measured.columns, "distance", "kept")
@@ -170,11 +177,13 @@ def judge(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), confide
 
 def rate(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), keep_text: bool = False, **limits) -> DataFrame:
     """One row per row of ``docs``: its columns (without the text, unless ``keep_text``),
-    the statistics, base_failed, distance and kept.
+    the statistics, base_failed, distance and kept. With the text, statistics are taken
+    again where the verdict is given, so that no text is stored or shuffled.
 
     Null texts have no words and fail the limits, as do texts under 10 words or with over
     a fifth of their words in repeated 5-word windows. Null languages and sources are
     groups of their own. Repeated rows are judged alike, one by one; an empty table gives
     no rows. Columns of ``docs`` named like a statistic are replaced."""
     m = measure(docs, text)
-    return judge(stored(m if keep_text else m.drop(text), "quality-stats"), by, **limits)
+    stats = stored(m.drop(text), "quality-stats")
+    return judge(m if keep_text else stats, stats, by, **limits)

@@ -207,15 +207,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     last; of several with that id, the one whose columns have the smallest hash; of rows
     equal in full, one. Texts meet only their own fingerprint's verdict, one row a group."""
     tie = F.xxhash64(*[F.col(c) for c in docs.columns])
-    d = stored(add_fingerprints(docs, text, shingle, seed, "_fp").withColumn("_tie", tie), "simhash-docs")
-    ids = d.select(F.col(id_col).alias("_id"), "_fp", "_tie")
-    groups = stored(fingerprint_groups(ids, "_id", "_fp", max_bits, hot).select("_fp", "component"), "groups")
-    order = F.struct(F.col("_id").isNull().alias("null"), F.col("_id"), F.col("_tie"), F.col("_fp"))
-    best = ids.join(groups, "_fp").groupBy("component").agg(F.min(order).alias("o")).select("o._id", "o._tie", "o._fp")
-    best = stored(best, "best")
-    on = (F.col(f"d.{id_col}").eqNullSafe(F.col("b._id")) & (F.col("d._tie") == F.col("b._tie")) & (F.col("d._fp") == F.col("b._fp")))
-    times = ids.alias("d").join(best.alias("b"), F.col("d._id").eqNullSafe(F.col("b._id")) & (F.col("d._tie") == F.col("b._tie"))
-                                & (F.col("d._fp") == F.col("b._fp"))).groupBy("b._id", "b._tie", "b._fp").count()
-    best = stored(times, "best-times")
-    pick = lambda b: d.alias("d").join(b.hint("shuffle_hash").alias("b"), on, "left_semi").select(*docs.columns)
+    row = docs.withColumn("_tie", tie)
+    ids = add_fingerprints(row.select(F.col(id_col).alias("_id"), "_tie", text), text, shingle, seed, "_fp")
+    ids = stored(ids.select(F.struct("_id", "_tie").alias("_row"), "_id", "_tie", "_fp"), "simhash-rows")
+    groups = fingerprint_groups(ids, "_id", "_fp", max_bits, hot).select("_fp", "component")
+    order = F.struct(F.col("_id").isNull().alias("null"), F.col("_id"), F.col("_tie"))
+    best = ids.join(groups, "_fp").groupBy("component").agg(F.min(order).alias("o")).select(F.struct("o._id", "o._tie").alias("_row"))
+    best = stored(ids.join(best, "_row").groupBy("_row").count(), "simhash-best")
+    row = row.withColumn("_row", F.struct(F.col(id_col).alias("_id"), "_tie"))
+    pick = lambda b: row.join(b.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
     return pick(best.where("count = 1")).unionByName(pick(best.where("count > 1")).dropDuplicates())
