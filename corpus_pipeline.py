@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import stored, table
+from wardlens.llm.common import on_path, stored, table
 from wardlens.llm.mixing import reorder
 from wardlens.llm.packing import pack
 from wardlens.llm.quality import rate
@@ -25,12 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints linked at 4 or fewer bits."""
+    on_path(spark)
     return keep_one(docs, shingle=4, seed=42, max_bits=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the words of 35-word windows that occur anywhere else; a
     text that loses words is rejoined by single spaces, others stay as they are."""
+    on_path(spark)
     left = remove_repeats(docs, window=35)
     cut = F.col("repeats.kept").isNotNull()
     return left.select(*[
@@ -46,6 +48,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' pieces, packed into sequences of at most 4096 tokens."""
+    on_path(spark)
     return pack(docs, TOKENIZER, cap=4096, end_id=1)
 
 

@@ -22,11 +22,16 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HOME = str(Path(__file__).resolve().parents[2])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; Python workers get the package's folder on their path."""
+def on_path(spark: SparkSession) -> None:
+    """Put the package's folder on the path of Python workers started from here on."""
     env = spark.sparkContext.environment
     if HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (HOME, env.get("PYTHONPATH")) if x)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    on_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
