@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardlens.llm.common import on_path, stored, table
 from wardlens.llm.mixing import reorder
 from wardlens.llm.packing import pack
-from wardlens.llm.quality import rate
+from wardlens.llm.quality import keep_good
 from wardlens.llm.simhash import keep_one
 from wardlens.llm.substrings import remove_repeats
 
@@ -20,7 +20,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the quality limits and their group's usual range; others go."""
-    return rate(docs, keep_text=True).where("kept").select(*docs.columns)
+    return keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,33 +157,36 @@ def estimates(rows: DataFrame, core: float = 0.75, steps: int = 4) -> DataFrame:
     return now
 
 
-def judge(measured: DataFrame, stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), confidence: float = 1 - 1e-9,
-          least: int = 200, few: int = 50, core: float = 0.75, steps: int = 4) -> DataFrame:
-    """``measured`` with ``distance`` (null where not judged) and ``kept``, by estimates
-    over ``stats``, a stored result of ``measure`` without the texts."""
+def judge(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), confidence: float = 1 - 1e-9, least: int = 200,
+          few: int = 50, core: float = 0.75, steps: int = 4) -> DataFrame:
+    """``stats`` (a stored result of ``measure``) with ``distance`` (null where not
+    judged) and ``kept``."""
     xs = list(FEATURES)
-    pools = pool_table(stats, by, least, few)
-
-    def vectors(m: DataFrame) -> DataFrame:
-        m = m.withColumn("_pool", F.when(~F.col("base_failed"), pool_of(by)[0])).join(pools, "_pool", "left").drop("_pool")
-        return m.withColumns({x: F.when(F.col("_g").isNotNull(), F.expr(e)) for x, (e, _) in FEATURES.items()})
-
-    fit = estimates(stored(vectors(stats).select("_g", *xs), "quality-vectors"), core, steps)
-    out = vectors(measured).join(fit, "_g", "left").withColumn("distance", _distance(xs))
+    m = stats.withColumn("_pool", F.when(~F.col("base_failed"), pool_of(by)[0]))
+    m = m.join(pool_table(stats, by, least, few), "_pool", "left").drop("_pool")
+    m = m.withColumns({x: F.when(F.col("_g").isNotNull(), F.expr(e)) for x, (e, _) in FEATURES.items()})
+    fit = estimates(stored(m.select("_g", *xs), "quality-vectors"), core, steps)
+    out = m.join(fit, "_g", "left").withColumn("distance", _distance(xs))
     limit = F.lit(chi2_quantile(confidence, len(xs)))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True)))
-    return out.select(*measured.columns, "distance", "kept")
+    return out.select(*stats.columns, "distance", "kept")
 
 
-def rate(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), keep_text: bool = False, **limits) -> DataFrame:
-    """One row per row of ``docs``: its columns (without the text, unless ``keep_text``),
-    the statistics, base_failed, distance and kept. With the text, statistics are taken
-    again where the verdict is given, so that no text is stored or shuffled.
+def rate(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), **limits) -> DataFrame:
+    """One row per row of ``docs``: its columns but the text, the statistics,
+    base_failed, distance and kept.
 
     Null texts have no words and fail the limits, as do texts under 10 words or with over
     a fifth of their words in repeated 5-word windows. Null languages and sources are
     groups of their own. Repeated rows are judged alike, one by one; an empty table gives
     no rows. Columns of ``docs`` named like a statistic are replaced."""
-    m = measure(docs, text)
-    stats = stored(m.drop(text), "quality-stats")
-    return judge(m if keep_text else stats, stats, by, **limits)
+    return judge(stored(measure(docs, text).drop(text), "quality-stats"), by, **limits)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"), **limits) -> DataFrame:
+    """The rows of ``docs`` that ``rate`` keeps, unchanged. Verdicts meet their rows by id
+    and a hash of the whole row."""
+    row = docs.withColumn("_row", F.struct(F.col(id_col).alias("_id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("_tie")))
+    lean = row.select("_row", F.col(text).alias("text"), *by)
+    good = stored(rate(lean, "text", by, **limits).where("kept").select("_row").distinct(), "quality-kept")
+    return row.join(good.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
