@@ -24,6 +24,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,10 @@ class Vocabulary:
         top = counts.where(F.length("word").between(1, 64)).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
         words, n = top["word"].to_pylist(), top["n"].to_numpy()
         ends = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-        self.count = {END: ends, **dict(zip(words, n.tolist()))}
+        known = [END, *words]
+        self.index = {w: i for i, w in enumerate(known)}
+        self.count = np.array([ends, *n.tolist()], np.int64)
+        self.bucket = np.array([zlib.crc32(w[-3:]) % buckets for w in known])
         own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words[:n_words]], "word binary")
         b = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(buckets)).alias("b")
         rare = counts.where(F.length("word") > 0).join(F.broadcast(own), "word", "left_anti").groupBy(b).agg(
@@ -81,7 +85,7 @@ class Vocabulary:
         self.bucket_symbol = rank[n_words + 1:].tolist()
         self.size = np.sort(size)[::-1]
 
-    def symbols(self, words: list[bytes], most: int = 500_000) -> list[int]:
+    def symbols(self, words: list[bytes], most: int = 200_000) -> np.ndarray:
         """Symbol of each word. Words seen are remembered, at most about ``most``."""
         seen = self.__dict__.setdefault("seen", {})
         if len(seen) > most:
@@ -91,7 +95,7 @@ class Vocabulary:
         for w in new:
             s = get(w)
             seen[w] = bs[zlib.crc32(w[-3:]) % k] if s is None else s
-        return list(map(seen.__getitem__, words))
+        return np.fromiter(map(seen.__getitem__, words), np.int16, len(words))
 
 
 class Gru:
@@ -233,7 +237,7 @@ class Gru:
         return {x: g / n for x, g in grads.items()}, out[-1]
 
 
-def lanes(docs: list[list[int]], width: int, start: int, first: list[int] | None = None):
+def lanes(docs: list[np.ndarray], width: int, start: int, first: list[int] | None = None):
     """Documents dealt to at most ``width`` lanes, most loaded first: target symbols,
     inputs, beginnings and document numbers as (step, lane) arrays, and the lanes' loads.
     Whole documents follow each other in a lane. ``first``: what is read before each
@@ -273,7 +277,7 @@ def windows(load: np.ndarray, steps: int) -> Iterator[tuple[slice, slice]]:
         at = end
 
 
-def _parts(batch: list[list[int]], most: int = 4_000_000) -> Iterator[list[int]]:
+def _parts(batch: list[np.ndarray], most: int = 2_500_000) -> Iterator[list[int]]:
     """Rows of a batch, some ``most`` symbols at a time."""
     part, size = [], 0
     for i, d in enumerate(batch):
@@ -287,7 +291,7 @@ def _parts(batch: list[list[int]], most: int = 4_000_000) -> Iterator[list[int]]
 
 
 def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hidden: int = 16, steps: int = 16,
-          width: int = 256, rounds: int = 2, rate: float = 0.01, stretch: int = 512, workers: int | None = None) -> np.ndarray:
+          width: int = 512, rounds: int = 2, rate: float = 0.01, stretch: int = 512, workers: int | None = None) -> np.ndarray:
     """Weights after ``rounds`` rounds over ``docs``, each document in one of them.
     Training carries the state through ``stretch`` symbols at most; scoring through all.
     ``vocabulary``: a broadcast Vocabulary; ``size``: its symbols' counts."""
@@ -307,7 +311,7 @@ def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hid
                 rows = [voc.symbols(tokens(t)) for t in batch.column(0).to_pylist()]
                 for part in _parts(rows, 1_000_000):
                     # long documents in stretches, so that no lane is left alone
-                    own = [(rows[i][a - 1] if a else voc.symbol[END], rows[i][a:a + stretch])
+                    own = [(int(rows[i][a - 1]) if a else voc.symbol[END], rows[i][a:a + stretch])
                            for i in part for a in range(0, len(rows[i]), stretch)]
                     first, own = zip(*own)
                     total = sum(map(len, own))
@@ -340,7 +344,7 @@ def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hid
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text: str = "text", hidden: int = 16,
-          steps: int = 32, width: int = 512, frequent: int = 400_000, buckets: int = 128, **fit) -> DataFrame:
+          steps: int = 32, width: int = 512, frequent: int = 200_000, buckets: int = 128, **fit) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score
     (smoothed word counts) and score (the model), both log10 probabilities of the text.
 
@@ -358,23 +362,26 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text: st
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
         net = Gru(size, hidden).load(weights.value)
+        symbol_of = voc.symbols(list(voc.index))
+        base_of = np.log10((voc.count + 0.1) / per_word)
+        own_of = np.log10((voc.count + 0.1) / per_bucket[voc.bucket])
+        own_of[[voc.index[w] for w in voc.symbol if w in voc.index]] = 0.0
         for batch in batches:
             rows, rest = [], []
             for t in batch.column(2).to_pylist():
                 words = tokens(t)
-                n = Counter(words)
-                known, base, own, rare = 0, 0.0, 0.0, []
-                for w, k in n.items():
-                    c = voc.count.get(w)
-                    if c is None:
-                        rare.append((w, k))
-                        continue
-                    known += k * (c > 0)
-                    base += k * np.log10((c + 0.1) / per_word)
-                    if w not in voc.symbol:
-                        own += k * np.log10((c + 0.1) / per_bucket[zlib.crc32(w[-3:]) % voc.buckets])
-                rows.append(voc.symbols(words))
-                rest.append((len(words), known, base, own, [w for w, _ in rare], [k for _, k in rare]))
+                at = np.fromiter(map(voc.index.get, words, repeat(-1)), np.int32, len(words))
+                there = at[at >= 0]
+                symbols = symbol_of[at]
+                rare = Counter()
+                if len(there) < len(at):
+                    out = np.flatnonzero(at < 0)
+                    own = [words[i] for i in out.tolist()]
+                    symbols[out] = voc.symbols(own)
+                    rare.update(own)
+                rows.append(symbols)
+                rest.append((len(words), int(np.count_nonzero(voc.count[there])), float(base_of[there].sum()),
+                             float(own_of[there].sum()), list(rare), list(rare.values())))
             like = np.zeros(len(rows))
             for part in _parts(rows):
                 target, prev, fresh, doc, load = lanes([rows[i] for i in part], width, voc.symbol[END])
