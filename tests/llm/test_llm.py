@@ -490,3 +490,12 @@ def test_pipeline_runs_whole(spark, docs):
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns) and got.doc_id.nunique() > 100
     assert got.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_registered_queries():
+    import __spark_entry__ as E
+    q, o = E.queries(), E.oracle_sql()
+    own = [k for k in q if k.startswith("op") and k[2].isdigit()]
+    assert sorted(int(k[2:].split("_")[0]) for k in own) == list(range(1, 11)) and "pipeline" in q
+    assert {k for k in own if k in o} == {"op4_curriculum_mix", "op6_phrase_automata", "op9_snapshot_chats"}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "substring_dedup", "source_mixing", "sequence_packing"]
