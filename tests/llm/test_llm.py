@@ -393,6 +393,29 @@ def test_quality_rejects_planted_outliers(spark, odd):
     assert got[:600].mean() > 0.99 and not got[600:].any()
 
 
+@pytest.mark.parametrize("kind", ["lines", "phrases"])
+def test_quality_rejects_repeats_within_the_limits(spark, kind):
+    """Repeated lines alone, and repeated phrases alone, reject texts of usual length."""
+    rng = np.random.default_rng(8)
+    vocab = [f"w{'abcdefgh'[i % 8] * (i % 7 + 1)}{i}" for i in range(3000)]
+
+    def clean():
+        w = rng.choice(vocab, int(rng.lognormal(5, 0.5)) + 20)
+        return "\n".join(" ".join(x) for x in np.array_split(w, len(w) // 10 + 1))
+
+    def junk():
+        if kind == "lines":  # 56 of 84 lines come again; no 5 words in a row do
+            return "\n".join("more" if i % 3 else " ".join(rng.choice(vocab, 3)) for i in range(84))
+        w = rng.choice(vocab, 150).tolist()  # 30 of 150 words, the most that the limit lets pass
+        return "\n".join(" ".join(x) for x in np.array_split(w[:120] + w[:15] + w[135:], 15))
+    texts = [clean() for _ in range(900)] + [junk() for _ in range(20)]
+    texts += [t + "\n" + t.split("\n")[0] for t in texts[:20] if len(t.split()) > 160]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = quality.rate(df).toPandas().set_index("doc_id")
+    assert not got.base_failed[900:920].any() and not got.kept[900:920].any()
+    assert got.kept[:900].mean() > 0.99 and got.kept[920:].all()  # one repeated line is no reason
+
+
 # --- 9 chat --------------------------------------------------------------------
 
 def test_chat_keeps_maximal_conversations(spark, odd):
