@@ -21,6 +21,21 @@ SPELL_GROUPS = {
 SPELL_RAW = ["resp_rate", "sbp", "dbp"]
 SPELL_SCORED = ["resp_score"]
 SPELL_REDUNDANT = ["patient_id", "admitted", "los_band"]
+# Layout of the raw-to-clean and old-layout flows. Steps act on the columns that a table
+# has, so a table without, say, complaints passes their steps unchanged.
+SNAPSHOTS = ["first", "24h_post_adm", "24h_pre_disch", "last"]
+RAW_REDUNDANT = ["patient_type", "ccg", "admission_consultant", "over_7_days", "over_14_days", "gp_practice",
+                 "spell_count", "admit_ward_end"]
+RAW_REDUNDANT_SUFFIX = "_recorded_dtm"  # collection times of scores and time series
+RAW_PLACEHOLDERS = {"gender": "Other", "ethnicity": "NOT STATED", "ae_diagnosis": "UNKNOWN", "ae_location": "System Generated"}
+RAW_TRUE_VALUES = {"gender": ["Female"], "died": ["Yes"], "died_within_30": ["Yes"], "admission_type": ["Elective"],
+                   "care_home": ["Yes"], "resus_status": ["DNA - CPR", "Unified DNA - CPR"]}
+RAW_NAMES = {"gender": "female", "admission_type": "elective_admission", "resus_status": "has_dnar"}
+RAW_VAGUE = ["complaint", "ae_diagnosis"]
+LABS = {"Blood_Urea": "urea", "Blood_Sodium": "sodium", "Blood_Potassium": "potassium", "Blood_Creatinine": "creatinine",
+        "Blood_DDimer": "ddimer", "Blood_Albumin": "albumin", "Blood_CRP": "crp", "VBG_O2": "vbg_o2"}
+DIAGNOSES = [f"diag{i}" for i in range(1, 8)]
+VBG = ["vbg_temperature", "vbg_pco2", "vbg_pco2_corrected", "vbg_ph", "vbg_ph_corrected", "vbg_o2", "vbg_o2_corrected"]
 SPELL_ORDER = ["spell_id", "admitted", "patient_id", "age", "gender", "died", "admit_method", "specialty"]
 SPELL_DISPLAY_NAMES = {"spell_id": "SpellSerial", "patient_id": "PatientNumber", "admitted": "AdmissionDate",
                        "age": "Age", "gender": "Gender"}
@@ -29,6 +44,11 @@ PRIORITY_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEGMENT_LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
 
 
+def family(df: DataFrame, name: str) -> list[str]:
+    """The table's columns of a measurement: ``name`` itself and ``name`` at a snapshot."""
+    return [c for c in [name, *[f"{name}_{s}" for s in SNAPSHOTS]] if c in df.columns]
+
+
 def omit(df: DataFrame, group: str) -> DataFrame:
     return drop_tolerant(df, SPELL_GROUPS[group])
 
