@@ -433,6 +433,22 @@ def test_chat_keeps_maximal_conversations(spark, odd):
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_parts_are_bounded_whatever_the_turn_numbers(spark):
+    """Turns without a number, under one number or far apart: 256 turns a part, in order."""
+    turns = {1: lambda i: None, 2: lambda i: 7, 3: lambda i: 10**12 + 86_400 * i}
+    rows = [(c, n(i), "user", f"c{c}t{i}") for c, n in turns.items() for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.render(df).toPandas().sort_values(["conv_id", "part"])
+    for c, own in got.groupby("conv_id"):
+        assert own.part.tolist() == [0, 1, 2] and set(own.n_turns) == {600}
+        assert own.chat.str.count("<.end.>").tolist() == [256, 256, 88]
+        texts = re.findall(r"c\dt\d+", "".join(own.chat))
+        assert sorted(texts) == sorted(f"c{c}t{i}" for i in range(600))
+    assert texts == [f"c3t{i}" for i in range(600)]
+    p = chat.turn_prefixes(df).groupBy("conv_id").agg(F.max("pos"), F.count_distinct("pos")).collect()
+    assert sorted(map(tuple, p)) == [(c, 600, 600) for c in (1, 2, 3)]
+
+
 # --- 10 language model -----------------------------------------------------------
 
 def test_gru_gradients_match_differences():

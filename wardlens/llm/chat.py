@@ -8,10 +8,11 @@ anti-join; of equal conversations the one with the smallest id stays. Those left
 rendered.
 
 Two independent 64-bit hashes are summed exactly as decimals, so sums can be formed in
-any order: a conversation is numbered and summed in blocks of ``block`` turn numbers,
-whose totals give the offsets, and one with a third of all rows is not handled in one
-task. A rendered row holds at most ``block`` turn numbers, in parts numbered from 0.
-All steps are DataFrame functions.
+any order: the turns are cut into ranges of (conversation, turn number, hash) of near-equal
+rows, a conversation is numbered and summed inside each range, and the ranges' totals
+give the offsets. So one with a third of all rows is not handled in one task, whatever
+its turn numbers are. A rendered row holds at most ``block`` turns, cut by position, in
+parts numbered from 0. All steps are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -24,20 +25,22 @@ from wardlens.llm.common import stored
 
 def turn_prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
                   block: int = 256) -> DataFrame:
-    """Distinct turns with their position (from 1), block, and prefix hashes p1 and p2."""
+    """Distinct turns with their position (from 1), part, and prefix hashes p1 and p2."""
     t = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"),
                      F.col(text).alias("text")).where(F.col("conv_id").isNotNull())
     full = F.concat_ws("\x1f", F.col("role").isNull().cast("string"), "role", F.col("text").isNull().cast("string"), "text")
     t = t.withColumn("h", F.xxhash64(full)).dropDuplicates(["conv_id", "turn", "h"])
-    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).cast("long"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "h")
+    # a given number of ranges, which adaptive execution does not read in another layout
+    ranges = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.repartitionByRange(ranges, "conv_id", "turn", "h").withColumn("range", F.spark_partition_id())
+    inside = Window.partitionBy("conv_id", "range").orderBy("turn", "h")
     t = stored(t.withColumn("at", F.row_number().over(inside).cast("long")), "turns")
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
 
     def with_before(df, **values):
-        sums = df.groupBy("conv_id", "block").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
-        off = sums.select("conv_id", "block", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(k) for k in values])
-        return df.join(off, ["conv_id", "block"])
+        sums = df.groupBy("conv_id", "range").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
+        off = sums.select("conv_id", "range", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(k) for k in values])
+        return df.join(off, ["conv_id", "range"])
 
     t = with_before(t, before=F.lit(1)).withColumn("pos", F.col("before") + F.col("at"))
     wide = "decimal(38,0)"
@@ -45,9 +48,8 @@ def turn_prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     t = t.withColumns({"h1": F.xxhash64("pos", "role", "text").cast(wide),
                        "h2": F.conv(F.substring(F.md5(full), 1, 15), 16, 10).cast(wide)}).drop("before", "h")
     t = with_before(t, b1="h1", b2="h2")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    upto = Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return t.select("conv_id", "turn", "role", "text", "block", "pos",
+    upto = Window.partitionBy("conv_id", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return t.select("conv_id", "turn", "role", "text", F.floor((F.col("pos") - 1) / block).cast("int").alias("part"), "pos",
                     (F.col("b1") + F.sum("h1").over(upto)).cast(wide).alias("p1"),
                     (F.col("b2") + F.sum("h2").over(upto)).cast(wide).alias("p2"))
 
@@ -71,16 +73,14 @@ def render(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     Rows repeated in full are one turn; turns that share a number stand in hash order; a
     null turn number comes first; null roles render as ``unknown`` and null texts as
     empty; rows without a conversation id are dropped; an empty table gives no rows.
-    ``part`` counts a conversation's blocks of ``block`` turn numbers that have turns;
-    ``n_turns`` is the whole conversation's. Other columns are not read."""
+    ``part`` counts a conversation's blocks of ``block`` turns; ``n_turns`` is the whole
+    conversation's. Other columns are not read."""
     p = stored(turn_prefixes(turns, conv, turn, role, text, block), "prefixes")
     kept = p.join(maximal(p), "conv_id")
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")),
                     F.lit("\n<|end|>\n"))
-    parts = kept.groupBy("conv_id", "block", "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))).alias("ls"))
-    order = Window.partitionBy("conv_id").orderBy("block")
-    return parts.select("conv_id", (F.row_number().over(order) - 1).alias("part"), "n_turns",
-                        F.array_join(F.col("ls.l"), "").alias("chat"))
+    parts = kept.groupBy("conv_id", "part", "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))).alias("ls"))
+    return parts.select("conv_id", "part", "n_turns", F.array_join(F.col("ls.l"), "").alias("chat"))
 
 
 ORACLE = """
