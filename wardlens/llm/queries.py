@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardlens.llm import chat, mixing
+from wardlens.llm import chat, codes, mixing, phrases
 from wardlens.llm.chat import render
+from wardlens.llm.codes import compress
 from wardlens.llm.common import id_crc, table
 from wardlens.llm.embeddings import near_vectors
 from wardlens.llm.langid import fit, identify
 from wardlens.llm.lm import score
 from wardlens.llm.mixing import curriculum
+from wardlens.llm.neighbours import nearest
 from wardlens.llm.packing import pack
+from wardlens.llm.phrases import mine
 from wardlens.llm.quality import STATS, rate
 from wardlens.llm.sharding import shard
 from wardlens.llm.simhash import simhash_groups
@@ -25,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {
     "op4_curriculum_mix": mixing.ORACLE,
     "op9_snapshot_chats": chat.ORACLE,
+    "op11_gnat_codes": codes.ORACLE,
+    "op12_phrase_growth": phrases.ORACLE,
     "op6_phrase_automata": r"""
 with d as (select row_number() over () rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
 i as (select rid, unnest(range(0, len(w) - 34)) i, w from d where len(w) >= 35),
@@ -114,6 +119,24 @@ def op10_gated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of four entries from codebooks of 256."""
+    return compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
+@query
+def op12_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language over all documents."""
+    return mine(table(spark, sf_dir, "documents"), top=2000, least=10, share=50)
+
+
+@query
+def op13_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of every vector whose id is divisible by 50, among all embeddings."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over all documents."""
