@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.operators.ranking import running_sums
+from wardlens.operators.ranking import ranks, running_sums
 
 DIGITS = 9
 
@@ -41,10 +41,16 @@ def _auroc() -> Column:
     return F.round(F.sum(term) / (F.sum("pos") * F.sum("neg")), DIGITS).alias("auroc")
 
 
+def _auroc_or_null() -> Column:
+    """As ``_auroc``; null where a class is absent."""
+    term = F.col("neg") * (F.col("tp") - F.lit(0.5) * F.col("pos"))
+    return F.round(F.sum(term) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0)), DIGITS).alias("auroc")
+
+
 def _average_precision() -> Column:
     """Sum over thresholds of recall step x precision."""
     term = F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))
-    return F.round(F.sum(term) / F.sum("pos"), DIGITS).alias("avg_precision")
+    return F.round(F.sum(term) / F.nullif(F.sum("pos"), F.lit(0.0)), DIGITS).alias("avg_precision")
 
 
 def ranking_from_curve(c: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -114,8 +120,26 @@ def poisson_cdf(mean: int) -> list[float]:
     return out
 
 
-#: Means that are drawn by inverse distribution function; their binary sums give 0..15.
-POISSON_CDF = {j: poisson_cdf(j) for j in (1, 2, 4, 8)}
+def alias_table(mean: int) -> tuple[list[float], list[int]]:
+    """Alias method for Poisson(mean): a uniform number picks a place and the rest of it
+    decides between the place and its alias, so a draw is one look-up."""
+    cdf = poisson_cdf(mean)
+    p = [b - a for a, b in zip([0.0, *cdf], [*cdf, 1.0])]
+    n = len(p)
+    prob, alias = [x * n for x in p], list(range(n))
+    small, large = [i for i in range(n) if prob[i] < 1], [i for i in range(n) if prob[i] >= 1]
+    while small and large:
+        i, k = small.pop(), large.pop()
+        alias[i] = k
+        prob[k] -= 1 - prob[i]
+        (small if prob[k] < 1 else large).append(k)
+    for i in small + large:
+        prob[i] = 1.0
+    return prob, alias
+
+
+#: Means that are drawn by their alias table; their binary sums give 0..15.
+POISSON = {j: alias_table(j) for j in (1, 2, 4, 8)}
 
 
 def with_poisson(df: DataFrame, n: str, key: str, name: str) -> DataFrame:
@@ -127,18 +151,18 @@ def with_poisson(df: DataFrame, n: str, key: str, name: str) -> DataFrame:
     df = df.withColumn("_h", F.md5(key))
     df = df.withColumns({f"_u{i}": F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0 for i in range(4)})
 
-    def steps(u: Column, cdf: list[float]) -> Column:
-        out = F.when(u <= F.lit(cdf[0]), 0)
-        for k, p in enumerate(cdf[1:], 1):
-            out = out.when(u <= F.lit(p), k)
-        return out.otherwise(len(cdf))
+    def draw(u: Column, table: tuple[list[float], list[int]]) -> Column:
+        prob, alias = table
+        x = u * len(prob)
+        i = F.floor(x).cast("int")
+        return F.when(x - i < F.get(F.array(*[F.lit(p) for p in prob]), i), i).otherwise(F.get(F.array(*[F.lit(a) for a in alias]), i))
 
-    small = sum((F.when(F.col(n).cast("long").bitwiseAND(j) > 0, steps(F.col(f"_u{i}"), cdf)).otherwise(F.lit(0))
-                 for i, (j, cdf) in enumerate(POISSON_CDF.items())), F.lit(0))
+    small = sum((F.when(F.col(n).cast("long").bitwiseAND(j) > 0, draw(F.col(f"_u{i}"), t)).otherwise(F.lit(0))
+                 for i, (j, t) in enumerate(POISSON.items())), F.lit(0))
     z = F.sqrt(-2 * F.ln(1 - F.col("_u0"))) * F.cos(2 * math.pi * F.col("_u1"))
     large = F.greatest(F.lit(0.0), F.floor(F.col(n) + F.sqrt(F.col(n).cast("double")) * z + 0.5).cast("double"))
-    draw = F.when(F.col(n) < 16, small.cast("double")).otherwise(large)
-    return df.withColumn(name, draw).drop("_h", *[f"_u{i}" for i in range(4)])
+    draw_ = F.when(F.col(n) < 16, small.cast("double")).otherwise(large)
+    return df.withColumn(name, draw_).drop("_h", *[f"_u{i}" for i in range(4)])
 
 
 def bootstrap_ci(df: DataFrame, label: str, score: str, n_resamples: int = 999, alpha: float = 0.05) -> DataFrame:
@@ -147,17 +171,27 @@ def bootstrap_ci(df: DataFrame, label: str, score: str, n_resamples: int = 999,
     Rows are first reduced to one per distinct score with its positives and negatives;
     a replicate then draws how often each of the two counts occurs. So the work is
     replicates x distinct scores, whatever the number of rows."""
-    st = score_table(df.where(F.col(label).isNotNull()), label, score)
-    b = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b")
-    rep = st.select("score", "pos", "neg", b)
-    tag = F.concat_ws("|", F.round(F.col("score") * 1000000).cast("bigint").cast("string"), F.col("b").cast("string"))
+    return bootstrap_cells(score_table(df.where(F.col(label).isNotNull()), label, score), (), n_resamples, alpha)
+
+
+def bootstrap_cells(st: DataFrame, cell: Sequence[str] = (), n_resamples: int = 999, alpha: float = 0.05) -> DataFrame:
+    """``bootstrap_ci`` of every cell of ``st`` (cell..., score, pos, neg) at once: replicates of
+    all cells share one set of running sums keyed by cell and replicate. A draw depends on
+    the cell, the score's place among the cell's distinct scores (from the highest) and the
+    replicate, so scores however near have draws of their own."""
+    by = list(cell)
+    place = ranks(st.withColumn("_down", -F.col("score")), ["_down"], by, "_place").drop("_down")
+    # distinct scores may fit one task; their replicates need all
+    place = place.repartition(int(st.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_place")
+    rep = place.select(*by, "score", "pos", "neg", "_place", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b"))
+    tag = F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col("_place").cast("string"), F.col("b").cast("string"))
     rep = rep.withColumns({"_kp": F.concat(tag, F.lit("|1")), "_kn": F.concat(tag, F.lit("|0"))})
     rep = with_poisson(with_poisson(rep, "pos", "_kp", "wp"), "neg", "_kn", "wn")
-    rep = rep.select("b", "score", F.col("wp").alias("pos"), F.col("wn").alias("neg"))
-    c = curve(rep.where((F.col("pos") + F.col("neg")) > 0), ["b"])
-    per_b = ranking_from_curve(c, ["b"])
+    rep = rep.select(*by, "b", "score", F.col("wp").alias("pos"), F.col("wn").alias("neg"))
+    c = curve(rep, [*by, "b"])
+    per_b = c.groupBy(*by, "b").agg(_auroc_or_null(), _average_precision())
     lo, hi = alpha / 2, 1 - alpha / 2
-    return per_b.agg(F.round(F.percentile("auroc", lo), DIGITS).alias("auroc_lower"),
-                     F.round(F.percentile("auroc", hi), DIGITS).alias("auroc_upper"),
-                     F.round(F.percentile("avg_precision", lo), DIGITS).alias("ap_lower"),
-                     F.round(F.percentile("avg_precision", hi), DIGITS).alias("ap_upper"))
+    return per_b.groupBy(*by).agg(F.round(F.percentile("auroc", lo), DIGITS).alias("auroc_lower"),
+                                  F.round(F.percentile("auroc", hi), DIGITS).alias("auroc_upper"),
+                                  F.round(F.percentile("avg_precision", lo), DIGITS).alias("ap_lower"),
+                                  F.round(F.percentile("avg_precision", hi), DIGITS).alias("ap_upper"))

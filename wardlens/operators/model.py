@@ -6,7 +6,10 @@ Estimators train distributed (Spark ML); scoring returns a long
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+import random
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -47,6 +50,13 @@ ESTIMATORS = {
 }
 
 
+#: Penalties of logistic regression.
+PENALTIES = {
+    "none": {"regParam": 0.0}, "l1": {"regParam": 0.01, "elasticNetParam": 1.0},
+    "l2": {"regParam": 0.01, "elasticNetParam": 0.0}, "elastic_net": {"regParam": 0.01, "elasticNetParam": 0.5},
+}
+
+
 def positive_score(pred: DataFrame) -> F.Column:
     """Probability of class 1 when the model gives one, else the raw margin."""
     if "probability" in pred.columns:
@@ -116,13 +126,89 @@ def tune(train: DataFrame, label: str, features: Sequence[str], key: str, k: int
     lr = LogisticRegression(maxIter=30, weightCol="weight", labelCol=label, featuresCol="features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.elasticNetParam, list(elastic)).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=AveragePrecisionEvaluator(labelCol=label),
-                        foldCol="fold", parallelism=parallelism, seed=42)
+                        numFolds=k, foldCol="fold", parallelism=parallelism, seed=42)
     model = cv.fit(assemble(folds, features))
     rows = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
             for pm, m in zip(grid, model.avgMetrics, strict=True)]
     return train.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, mean_ap double")
 
 
+#: Search spaces: a list is chosen from, ("log", a, b) and ("uniform", a, b) are drawn from.
+SPACES: dict[str, dict] = {
+    "logreg": {"regParam": ("log", 1e-4, 1.0), "elasticNetParam": ("uniform", 0.0, 1.0)},
+    "svc": {"regParam": ("log", 1e-4, 1.0)},
+    "gbt": {"maxDepth": [2, 3, 4], "maxIter": [10, 20, 30]},
+    "rf": {"maxDepth": [3, 5, 7], "numTrees": [20, 50, 100]},
+}
+
+
+def draw_points(space: Mapping[str, object], n: int, seed: int = 42) -> list[dict]:
+    """``n`` points of a search space, the same for the same seed."""
+    rng = random.Random(seed)
+
+    def one(x):
+        if isinstance(x, tuple):
+            kind, lo, hi = x
+            return math.exp(rng.uniform(math.log(lo), math.log(hi))) if kind == "log" else rng.uniform(lo, hi)
+        return rng.choice(list(x))
+    return [{name: one(x) for name, x in sorted(space.items())} for _ in range(n)]
+
+
+def halving_plan(n: int, keep: float, smallest: float) -> list[tuple[float, int]]:
+    """(share of the training rows, number of points) of each rung: the share grows as the
+    number of points falls, until the last rung has all rows."""
+    plan, share = [], smallest
+    while share < 1.0 and n > 1:
+        plan.append((share, n))
+        n, share = max(1, math.ceil(n * keep)), min(1.0, share / keep)
+    return [*plan, (1.0, n)]
+
+
+def successive_halving(train: DataFrame, label: str, features: Sequence[str], key: str, points: Sequence[Mapping],
+                       estimator: str = "logreg", k: int = 5, keep: float = 0.5, smallest: float = 0.25) -> tuple[dict, DataFrame]:
+    """The best of ``points`` by cross-validated exact average precision, and the history.
+
+    Rung by rung, every surviving point is fitted per fold on a share of the rows outside
+    the fold (those with the smallest hash of their key, so a rung's rows contain the last
+    rung's), and all points score all held-out rows of all folds in one table, evaluated
+    by one set of running sums keyed by (point, fold). The better ``keep`` share goes on.
+    The history has a row per rung and point: rung, share, point, params, mean_ap, kept.
+    Rows without a label take no part. Ties go to the earlier point."""
+    spark = train.sparkSession
+    folds = sp.stratified_kfold(train.where(F.col(label).isNotNull()), key, label, k)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("rung|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    data = assemble(folds.withColumn("_u", draw), features).select(key, label, "fold", "_u", "features").persist()
+    alive, history, best = list(range(len(points))), [], None
+    try:
+        for rung, (share, n) in enumerate(halving_plan(len(points), keep, smallest)):
+            parts = []
+            for f in range(k):
+                fit_part = with_class_weight(data.where((F.col("fold") != f) & (F.col("_u") < share)), label)
+                held, names = data.where(F.col("fold") == f), []
+                for i in alive:
+                    est = ESTIMATORS[estimator](dict(points[i])).setLabelCol(label).setFeaturesCol("features")
+                    scored = est.fit(fit_part).transform(held)
+                    held = scored.select(key, label, "fold", "features", *names, positive_score(scored).alias(f"_p{i}"))
+                    names.append(f"_p{i}")
+                each = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.col(f"_p{i}").alias("score")) for i in alive]))
+                parts.append(held.select("fold", F.col(label).cast("int").alias("label"), each.alias("x")).select("fold", "label", "x.*"))
+            long = parts[0]
+            for p in parts[1:]:
+                long = long.unionByName(p)
+            c = mt.curve(mt.score_table(long, "label", "score", group=["point", "fold"]), ["point", "fold"])
+            per = mt.ranking_from_curve(c, ["point", "fold"]).groupBy("point").agg(F.avg("avg_precision").alias("ap"))
+            ap = {r["point"]: float(r["ap"] or 0.0) for r in per.collect()}  # one row per point
+            order = sorted(alive, key=lambda i: (-ap.get(i, 0.0), i))
+            last = share >= 1.0
+            left = order[:1] if last else order[:max(1, math.ceil(n * keep))]
+            history += [(rung, float(share), i, json.dumps(dict(points[i]), sort_keys=True), ap.get(i, 0.0), i in left) for i in alive]
+            alive, best = left, left[0]
+    finally:
+        data.unpersist()
+    table = spark.createDataFrame(history, "rung int, share double, point int, params string, mean_ap double, kept boolean")
+    return {**points[best]}, table
+
+
 def with_tokens(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: the lower-cased runs of letters and digits of ``text`` (none if null)."""
     return df.withColumn(name, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))

@@ -8,10 +8,12 @@ def load_catalogue():
         q_columns,
         q_fit,
         q_flows,
+        q_grid,
         q_lookup,
         q_model,
         q_outcomes,
         q_profile,
+        q_xy,
     )
     from wardlens.plans.registry import ORACLE, QUERIES
     return QUERIES, ORACLE

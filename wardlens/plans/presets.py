@@ -18,6 +18,27 @@ SPELL_GROUPS = {
     "labs": ["urea_first", "urea_last"],
     "obs": ["resp_rate", "resp_score", "sbp", "dbp"],
 }
+#: Named groups that experiments combine.
+FEATURE_GROUPS = {"demographics": ["age", "gender"], "obs": ["resp_rate", "sbp", "dbp"], "obs_scores": ["resp_score"],
+                  "labs": ["urea_first", "urea_last"], "admission": ["admit_method", "specialty"]}
+#: Unions of groups by name.
+FEATURE_COMBINATIONS = {
+    "obs_with_demographics": ["obs", "demographics"], "scores_with_demographics": ["obs_scores", "demographics"],
+    "with_labs": ["obs", "demographics", "labs"], "scores_with_labs": ["obs_scores", "demographics", "labs"],
+    "with_admission": ["obs", "demographics", "admission"], "scores_with_admission": ["obs_scores", "demographics", "admission"],
+    "with_labs_and_admission": ["obs", "demographics", "labs", "admission"],
+    "scores_with_labs_and_admission": ["obs_scores", "demographics", "labs", "admission"],
+}
+
+
+def feature_sets(groups=FEATURE_GROUPS, combinations=FEATURE_COMBINATIONS) -> dict[str, list[str]]:
+    """Columns of every group and of every union of groups, in order and without repeats."""
+    return {**{n: list(c) for n, c in groups.items()},
+            **{n: list(dict.fromkeys(c for g in gs for c in groups[g])) for n, gs in combinations.items()}}
+
+
+GRID_CATEGORICAL = ["gender", "admit_method", "specialty"]
+GRID_SETS = {**feature_sets(), "all": ["age", "gender", "resp_rate", "sbp", "dbp", "admit_method", "specialty"]}
 SPELL_RAW = ["resp_rate", "sbp", "dbp"]
 SPELL_SCORED = ["resp_score"]
 SPELL_REDUNDANT = ["patient_id", "admitted", "los_band"]

@@ -53,6 +53,8 @@ query("xy", fx.with_views(
         ("sp", """select *, case when row_number() over (order by admitted, spell_id) <= count(*) over () - ceil(0.33 * count(*) over ())
  then 'train' else 'test' end split from jn""")]))(lambda spark, d: xy(spark, d).drop("admitted"))
 query("fit_logreg")(_fit("logreg", {"regParam": 0.01, "elasticNetParam": 0.5}))
+for _name in ("none", "l1", "l2"):
+    query(f"fit_logreg_{_name}")(_fit("logreg", md.PENALTIES[_name]))
 query("fit_svc")(_fit("svc"))
 query("fit_gbt")(_fit("gbt"))
 query("fit_rf")(_fit("rf"))
@@ -71,6 +73,13 @@ def q_tune(spark, d):
     return md.tune(t.where(F.col("split") == "train"), "label", FEATURES, "spell_id", 5)
 
 
+@query("tune_halving")
+def q_tune_halving(spark, d):
+    t = xy(spark, d)
+    points = md.draw_points(md.SPACES["logreg"], 4)
+    return md.successive_halving(t.where(F.col("split") == "train"), "label", FEATURES, "spell_id", points, "logreg", 5)[1]
+
+
 @query("text_classifier")
 def q_text_classifier(spark, d):
     docs = read_table(spark, d, "documents", ["doc_id", "text"])

@@ -129,8 +129,11 @@ def q_class_metrics(spark, d):
 
 
 def _poisson_sql(n, u):
-    small = " + ".join(f"case when ({n})::bigint & {j} > 0 then " + " + ".join(f"({u}{i} > {p!r})::int" for p in cdf) + " else 0 end"
-                       for i, (j, cdf) in enumerate(mt.POISSON_CDF.items()))
+    def draw(x, table):
+        prob, alias = table
+        i = f"floor({x} * {len(prob)})::int"
+        return f"case when {x} * {len(prob)} - {i} < ({prob!r}::double[])[{i} + 1] then {i} else ({alias!r}::int[])[{i} + 1] end"
+    small = " + ".join(f"case when ({n})::bigint & {j} > 0 then {draw(f'{u}{i}', t)} else 0 end" for i, (j, t) in enumerate(mt.POISSON.items()))
     large = f"greatest(0.0, floor({n} + sqrt({n}::double) * (sqrt(-2 * ln(1 - {u}0)) * cos(2 * pi() * {u}1)) + 0.5))"
     return f"case when {n} < 16 then ({small})::double else {large}::double end"
 
@@ -140,7 +143,7 @@ def _uniforms(key, u):
 
 
 _BOOT_CTES = [
-    ("rep0", f"select *, round(score * 1000000)::bigint::varchar || '|' || b::varchar k from st, range({N_BOOT}) r(b)"),
+    ("rep0", f"select *, place::varchar || '|' || b::varchar k from (select *, row_number() over (order by score desc) place from st) s, range({N_BOOT}) r(b)"),
     ("rep1", f"select b, score, pos, neg, {_uniforms("k || '|1'", 'p')}, {_uniforms("k || '|0'", 'n')} from rep0"),
     ("rep", f"select b, score, {_poisson_sql('pos', 'p')} pos, {_poisson_sql('neg', 'n')} neg from rep1"),
     ("bst", "select * from rep where pos + neg > 0"),
