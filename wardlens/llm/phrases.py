@@ -22,6 +22,7 @@ with k = 1, a <= p and r >= a. So the frontier is expanded from the best bound d
 Counting is a pass over the texts a level: a task counts its phrases by numbers of its own
 words and Spark adds up. Which phrases to count goes to the tasks as bitmaps of a fixed
 size; a false positive costs work, never a result, since joins with the exact counts follow.
+Pairs take two passes, by hash and then by words, so that rare pairs are never rows.
 """
 
 from __future__ import annotations
@@ -57,58 +58,145 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a ^ ((b << np.uint64(TURN)) | (b >> np.uint64(64 - TURN)))
 
 
-def phrase_counts(texts: DataFrame, size: int, words=None, pairs=None, right=None, left=None) -> DataFrame:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """(language, numbers, words) of about ``size`` bytes of text at a time: the words of whole
+    texts as numbers into the list of distinct words, where 0 is a piece's end."""
+    def numbered(lang, own):
+        number = {b".": 0}  # never a word
+        ids = np.array([number.setdefault(w, len(number)) for w in b".".join(own).replace(b".", b" . ").split()], np.int64)
+        return lang, ids, list(number)
+
+    parts: dict[str, list[bytes]] = {}
+    held: dict[str, int] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            own = text.as_py().translate(PIECES)
+            parts.setdefault(lang, []).append(own)
+            held[lang] = held.get(lang, 0) + len(own) + 1
+            if held[lang] >= size:
+                yield numbered(lang, parts.pop(lang))
+                held[lang] = 0
+    for lang, own in parts.items():
+        yield numbered(lang, own)
+
+
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _neighbours(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each word and the next are both ``known`` words of one piece."""
+    known[0] = False
+    on = known[ids]
+    return on[:-1] & on[1:]
+
+
+def phrase_counts(texts: DataFrame, size: int, words=None, pairs=None, right=None, left=None, chunk: int = 4 << 20) -> DataFrame:
     """(lang, w1, ..., n): occurrences of phrases of ``size`` words in ``texts`` (lang,
-    text as bytes). Bitmaps (broadcast) choose what is counted: pairs of two of ``words``;
-    triples of two of ``pairs`` of which the first is in ``right`` or the second in ``left``."""
+    text as bytes). Bitmaps (broadcast) choose what is counted: pairs of two of ``words`` that
+    are in ``pairs``; triples of two of ``pairs`` of which the first is in ``right`` or the
+    second in ``left``."""
     names = [f"w{i + 1}" for i in range(size)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            parts: dict[str, list[bytes]] = {}
-            for lang, text in zip(langs, batch.column("text")):
-                parts.setdefault(lang, []).append(text.as_py().translate(PIECES))
-            for lang, own in parts.items():
-                number = {b".": 0}  # a piece's end; never a word
-                ids = np.array([number.setdefault(w, len(number)) for w in b".".join(own).replace(b".", b" . ").split()], np.int64)
-                v = len(number)
-                vocab = pa.array(list(number), pa.binary())
-                if size > 1:
-                    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-                    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in number), np.uint64, v)
-                if size == 1:
-                    n = np.bincount(ids, minlength=v)
-                    n[0] = 0
-                    at = np.flatnonzero(n)
-                    cols, n = [at], n[at]
+        for lang, ids, number in _chunks(batches, chunk):
+            v = len(number)
+            vocab = pa.array(number, pa.binary())
+            if size == 1:
+                n = np.bincount(ids, minlength=v)
+                n[0] = 0
+                at = np.flatnonzero(n)
+                cols, n = [at], n[at]
+            else:
+                h = _word_hashes(lang, number)
+                on = np.flatnonzero(_neighbours(ids, _has(words.value, h)))
+                a, b = ids[on], ids[on + 1]
+                g = _pairs(h[a], h[b])
+                here = _has(pairs.value, g)
+                if size == 2:
+                    key, n = np.unique(a[here] * v + b[here], return_counts=True)
+                    cols = [key // v, key % v]
                 else:
-                    known = _has(words.value, h)
-                    known[0] = False
-                    on = known[ids]
-                    on = on[:-1] & on[1:]
-                    key, n = ids[:-1] * v + ids[1:], None
-                    if size == 2:
-                        key, n = np.unique(key[on], return_counts=True)
-                        cols = [key // v, key % v]
-                    else:
-                        kind = np.full(len(key), -1)
-                        pair, kind[on] = np.unique(key[on], return_inverse=True)
-                        g = _pairs(h[pair // v], h[pair % v])
-                        both, grows, ends = _has(pairs.value, g), _has(right.value, g), _has(left.value, g)
-                        at = np.flatnonzero((kind[:-1] >= 0) & (kind[1:] >= 0))
-                        a, b = kind[at], kind[at + 1]
-                        at = at[both[a] & both[b] & (grows[a] | ends[b])]
-                        key, n = np.unique(kind[at] * v + ids[at + 2], return_counts=True)
-                        cols = [pair[key // v] // v, pair[key // v] % v, key % v]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), *[vocab.take(pa.array(c)).cast(pa.string()) for c in cols],
-                     pa.array(n, pa.int64())], ["lang", *names, "n"])
+                    on, a, b, g = on[here], a[here], b[here], g[here]
+                    grows, ends = _has(right.value, g), _has(left.value, g)
+                    at = np.flatnonzero((np.diff(on) == 1) & (grows[:-1] | ends[1:]))
+                    _, pair = np.unique(a * v + b, return_inverse=True)
+                    key, first, n = np.unique(pair[at] * v + b[at + 1], return_index=True, return_counts=True)
+                    at = at[first]
+                    cols = [a[at], b[at], b[at + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(n), pa.string()), *[vocab.take(pa.array(c)).cast(pa.string()) for c in cols],
+                 pa.array(n, pa.int64())], ["lang", *names, "n"])
 
     schema = "lang string, " + "".join(f"{w} string, " for w in names) + "n long"
     return texts.mapInArrow(count, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[start], np.add.reduceat(n, start) if len(h) else n
+
+
+def frequent_pairs(texts: DataFrame, words, least: int, total: int, chunk: int = 4 << 20, hold: int = 3_000_000, row: int = 500) -> DataFrame:
+    """(anchor): hashes of pairs of two of ``words`` that occur ``least`` times or more.
+
+    Most pairs of a text are rare and number as many as its words, so they are counted by hash
+    in blocks: a task sends sorted blocks of hashes and counts, dealt by ranges of the hash so
+    that a range holds about a million of ``total`` words' pairs, and a range is added up as
+    arrays. Two pairs that share a hash are counted together, which lets more through."""
+    ranges = max(64, total >> 20)
+    schema = pa.schema([("range", pa.int64()), ("h", pa.binary()), ("n", pa.binary())])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            h, n = _summed(*map(np.concatenate, zip(*held)))
+            where = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            cut = np.flatnonzero(np.diff(where)) + 1
+            ends = [0, *cut.tolist(), len(h)]
+            spans = [(lo, min(lo + row, b)) for a, b in zip(ends, ends[1:]) for lo in range(a, b, row)]
+            counts = n.astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array([int(where[a]) for a, _ in spans], pa.int64()), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
+                                               pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], schema=schema)
+
+        for lang, ids, number in _chunks(batches, chunk):
+            w = _word_hashes(lang, number)
+            on = np.flatnonzero(_neighbours(ids, _has(words.value, w)))
+            g = _pairs(w[ids[on]], w[ids[on + 1]])
+            held.append(_summed(g, np.ones(len(g), np.int64)))
+            size += len(held[-1][0])
+            if size >= hold:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, at = [], [], None
+
+        def out():
+            keys, counts = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in h]), np.concatenate([np.frombuffer(x, np.uint32) for x in n]).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].view(np.int64))], ["anchor"])
+
+        for batch in batches:
+            for r, x, y in zip(batch.column("range").to_pylist(), batch.column("h").to_pylist(), batch.column("n").to_pylist()):
+                if h and r != at:
+                    yield out()
+                    h, n = [], []
+                at = r
+                h.append(x)
+                n.append(y)
+        if h:
+            yield out()
+
+    sent = texts.mapInArrow(blocks, "range long, h binary, n binary").repartition("range").sortWithinPartitions("range")
+    return sent.mapInArrow(add, "anchor long")
+
+
 def score(a: str, l: str, r: str) -> Column:
     """floor(10^6 a^2 / (l r)) in exact decimals."""
     big = [f"cast({x} as decimal(19,0))" for x in (a, a, l, r)]
@@ -129,11 +217,13 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 200
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
     texts = texts.where(F.col("text").isNotNull())
     mark = lambda df, h: sc.broadcast(bitmap(df.select(h.alias("anchor")), bits))
-    w = stored(phrase_counts(texts, 1).withColumnRenamed("w1", "w"), "words")
+    w = stored(phrase_counts(texts, 1, chunk=8 << 20).withColumnRenamed("w1", "w"), "words")
     total = w.groupBy("lang").agg(F.sum("n").alias("words"))
     often = stored(w.where(F.col("n") >= least), "frequent-words")
     words = mark(often, word_hash(F.col("lang"), F.col("w")))
-    pair = phrase_counts(texts, 2, words).where(F.col("n") >= least).withColumnRenamed("n", "a")
+    many = int(w.agg(F.sum("n")).first()[0] or 0)
+    twice = sc.broadcast(bitmap(stored(frequent_pairs(texts, words, least, many), "pair-hashes"), bits))
+    pair = phrase_counts(texts, 2, words, twice).where(F.col("n") >= least).withColumnRenamed("n", "a")
     for i in (1, 2):
         pair = pair.join(often.select("lang", F.col("w").alias(f"w{i}"), F.col("n").alias(f"f{i}")), ["lang", f"w{i}"])
     pair = pair.withColumns({"score": score("a", "f1", "f2"), "bound": F.expr(f"(a * {MILLION}) div f1")})
