@@ -62,8 +62,8 @@ class WordIds:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def words(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode()
+    def words(self, text: bytes | str | None) -> list[bytes]:
+        raw = text if isinstance(text, bytes) else (text or "").encode()
         if self.lower and b"<" not in raw:
             raw = raw.translate(LOWER)
         return raw.split()
@@ -74,15 +74,14 @@ class WordIds:
             self.new, self.old = {}, self.new
         new, old, marks = self.new, self.old, self.marks
         todo, parted = set(), []
-        for w in words:
-            if w not in new:
-                got = old.get(w)
-                if got is not None:
-                    new[w] = got
-                elif len(w) > 1 and w[-1] in marks and 97 <= w[-2] <= 122:
-                    parted.append(w)
-                else:
-                    todo.add(w)
+        for w in words.difference(new):
+            got = old.get(w)
+            if got is not None:
+                new[w] = got
+            elif len(w) > 1 and w[-1] in marks and 97 <= w[-2] <= 122:
+                parted.append(w)
+            else:
+                todo.add(w)
         for w in parted:
             for x in (w[:-1], w[-1:]):
                 if x not in new:
@@ -141,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                     [part.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
                     ["doc_id", *names[:len(cols)]])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(cut, schema)
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, units: int, rounds: int = 1500, eps: float = 0.2) -> dict[tuple, float]:
