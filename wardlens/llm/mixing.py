@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import n_words, stored
+from wardlens.llm.common import n_words, stored, unused
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), tilts: Sequence[float] = (-0.5, 0.0, 0.5),
@@ -117,13 +117,16 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
 
 def reorder(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **shape) -> DataFrame:
     """``docs`` as the curriculum takes them: each row as often as it is taken, sorted by
-    range of training position. Rows equal in full are interchangeable."""
-    d = docs.withColumn("_tie", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    plan = curriculum(d, id_col, source, text, ["_tie"], **shape).where("copies > 0")
-    plan = plan.select(F.struct(F.col("doc_id").alias("_id"), "_tie").alias("_row"), F.explode("positions").alias("_position"))
-    d = d.withColumn("_row", F.struct(F.col(id_col).alias("_id"), "_tie")).dropDuplicates(["_row"])
-    out = d.join(plan, "_row").select(*docs.columns, "_position", "_tie")
-    return out.repartitionByRange("_position", "_tie").sortWithinPartitions("_position", "_tie").select(*docs.columns)
+    range of training position. Rows equal in full are interchangeable. A null text has no
+    words and costs nothing; a null id is ordered like the empty one and a null source is a
+    source; an empty table gives no rows. Columns may have any names."""
+    tie, at, position = unused(docs, "_tie", "_row", "_position")
+    d = docs.withColumn(tie, F.xxhash64(*[F.col(c) for c in docs.columns]))
+    plan = curriculum(d, id_col, source, text, [tie], **shape).where("copies > 0")
+    plan = plan.select(F.struct(F.col("doc_id").alias("_id"), F.col(tie).alias("_tie")).alias(at), F.explode("positions").alias(position))
+    d = d.withColumn(at, F.struct(F.col(id_col).alias("_id"), F.col(tie).alias("_tie"))).dropDuplicates([at])
+    out = d.join(plan, at).select(*docs.columns, position, tie)
+    return out.repartitionByRange(position, tie).sortWithinPartitions(position, tie).select(*docs.columns)
 
 
 ORACLE = r"""
@@ -149,6 +152,8 @@ x as (select c.source, min((abs(gap - size), h, doc_id, size, copy)) b from c jo
 f as (select c.*, gap, case when e <= rest then e
   when (h, doc_id, size, copy) is not distinct from (b[2], b[3], b[4], b[5]) then rest - gap + size end lst
   from c join g on c.source is not distinct from g.source left join x on c.source is not distinct from x.source)
+y as (select *, case when target > 0 then least(greatest(((case when passes >= 1 then e else lst end) - size / 2) / target, 0), 1) else 0 end y from f)
 select doc_id, size, source_size, target, ((passes + (lst is not null)::bigint) * size)::bigint taken,
- (passes + (lst is not null)::bigint)::bigint copies from f
+ (passes + (lst is not null)::bigint)::bigint copies,
+ case when passes + (lst is not null)::bigint > 0 then round(case when target > 0 then 2 * y / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * y)) else 0 end, 9) end "position" from y
 """

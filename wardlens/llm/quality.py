@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import WORD, stored
+from wardlens.llm.common import WORD, stored, unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Logit of a share, with 0.05 added on both sides.
@@ -183,14 +183,25 @@ def rate(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "so
     Null texts have no words and fail the limits, as do texts under 10 words or with over
     a fifth of their words in repeated 5-word windows. Null languages and sources are
     groups of their own. Repeated rows are judged alike, one by one; an empty table gives
-    no rows. Columns of ``docs`` named like a statistic are replaced."""
-    return judge(stored(measure(docs, text).drop(text), "quality-stats"), by, **limits)
+    no rows. Columns of ``docs`` named like one of those added are replaced; others may have
+    any names."""
+    own = [*STATS, "n_lines", "base_failed", "distance", "kept"]
+    rest = [c for c in docs.columns if c != text and c not in own]
+    # the row travels as one column, so none of its names can clash
+    lean = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_doc"), F.col(text).alias("_text"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+    got = judge(stored(measure(lean, "_text").drop("_text"), "quality-stats"), tuple(f"_by{i}" for i in range(len(by))), **limits)
+    return got.select(*[F.col("_doc")[c].alias(c) for c in rest], *own)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"), **limits) -> DataFrame:
     """The rows of ``docs`` that ``rate`` keeps, unchanged. Verdicts meet their rows by id
-    and a hash of the whole row."""
-    row = docs.withColumn("_row", F.struct(F.col(id_col).alias("_id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("_tie")))
-    lean = row.select("_row", F.col(text).alias("text"), *by)
-    good = stored(rate(lean, "text", by, **limits).where("kept").select("_row").distinct(), "quality-kept")
-    return row.join(good.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+    and a hash of the whole row.
+
+    Null, empty and short texts go, as do texts over the limits; null ids, languages and
+    sources are values like others; repeated rows stay or go together; an empty table gives
+    no rows. Columns may have any names."""
+    at, = unused(docs, "_row")
+    row = docs.withColumn(at, F.struct(F.col(id_col).alias("_id"), F.xxhash64(*[F.col(c) for c in docs.columns]).alias("_tie")))
+    lean = row.select(at, F.col(text).alias("text"), *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)])
+    good = stored(rate(lean, "text", tuple(f"by{i}" for i in range(len(by))), **limits).where("kept").select(at).distinct(), "quality-kept")
+    return row.join(good.hint("shuffle_hash"), at, "left_semi").select(*docs.columns)

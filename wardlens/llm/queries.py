@@ -66,9 +66,12 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to 150% of all words: weights 5, 2, 1, targets up to twice a source."""
+    """All documents mixed to 150% of all words: weights 5, 2, 1, targets up to twice a source;
+    sorted by range of the position at which a document is first trained on."""
     got = curriculum(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
-    return got.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    got = got.withColumn("position", F.round(F.get("positions", F.lit(0)), 9))
+    got = got.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return got.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
 
 
 @query

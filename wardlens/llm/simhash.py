@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import LOWER, stored
+from wardlens.llm.common import LOWER, on_path, stored, unused
 from wardlens.llm.graph import components
 
 FULL = (1 << 64) - 1
@@ -206,14 +206,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """``docs`` with one document of each group: the one with the smallest id, nulls
     last; of several with that id, the one whose columns have the smallest hash; of rows
     equal in full, one. Texts meet only their own fingerprint's verdict, one row a group."""
+    on_path(docs.sparkSession)
     tie = F.xxhash64(*[F.col(c) for c in docs.columns])
-    row = docs.withColumn("_tie", tie)
-    ids = add_fingerprints(row.select(F.col(id_col).alias("_id"), "_tie", text), text, shingle, seed, "_fp")
-    ids = stored(ids.select(F.struct("_id", "_tie").alias("_row"), "_id", "_tie", "_fp"), "simhash-rows")
+    at, = unused(docs, "_row")
+    row = docs.withColumn(at, F.struct(F.col(id_col).alias("_id"), tie.alias("_tie")))
+    ids = row.select(F.col(at).alias("_row"), F.col(text).alias("_text"))
+    ids = add_fingerprints(ids.select("_row", "_row._id", "_row._tie", "_text"), "_text", shingle, seed, "_fp")
+    ids = stored(ids.select("_row", "_id", "_tie", "_fp"), "simhash-rows")
     groups = fingerprint_groups(ids, "_id", "_fp", max_bits, hot).select("_fp", "component")
     order = F.struct(F.col("_id").isNull().alias("null"), F.col("_id"), F.col("_tie"))
     best = ids.join(groups, "_fp").groupBy("component").agg(F.min(order).alias("o")).select(F.struct("o._id", "o._tie").alias("_row"))
-    best = stored(ids.join(best, "_row").groupBy("_row").count(), "simhash-best")
-    row = row.withColumn("_row", F.struct(F.col(id_col).alias("_id"), "_tie"))
-    pick = lambda b: row.join(b.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+    best = stored(ids.join(best, "_row").groupBy("_row").count().withColumnRenamed("_row", at), "simhash-best")
+    pick = lambda b: row.join(b.select(at).hint("shuffle_hash"), at, "left_semi").select(*docs.columns)
     return pick(best.where("count = 1")).unionByName(pick(best.where("count > 1")).dropDuplicates())
