@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import stored
+from wardlens.llm.common import on_path, stored, unused
 
 SEGMENT = pa.schema([("route", pa.int64()), ("sid", pa.binary()), ("seg", pa.binary()), ("n", pa.int64()),
                      ("key", pa.binary()), ("pos", pa.int64())])
@@ -164,27 +164,55 @@ def segments(texts: DataFrame, window: int, anchor: int, recurring, hot) -> Data
     return texts.mapInArrow(cut, "route long, sid binary, seg binary, n long, key binary, pos long")
 
 
+def recurring(segs: list[np.ndarray], times: np.ndarray, window: int) -> Iterator[tuple]:
+    """The distinct windows of ``segs`` that occur more than once, where segment i occurs
+    ``times[i]`` times. Windows meet by hash and are compared word by word."""
+    size = np.array([len(s) for s in segs])
+    flat = np.concatenate(segs)
+    if len(flat) < window:
+        return
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(len(segs)), size)
+    starts = np.flatnonzero(np.arange(len(flat)) + window <= ends[owner])  # windows within one segment
+    h = rolling(flat.astype(np.uint64), window)[starts]
+    order = np.argsort(h, kind="stable")
+    h, starts = h[order], starts[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    n = np.bincount(group, weights=times[owner[starts]], minlength=len(first)) if len(first) else np.zeros(0)
+    for lo in range(0, len(starts), 1 << 14):
+        at = np.arange(lo, min(lo + (1 << 14), len(starts)))
+        at = at[n[group[at]] > 1]
+        rows = np.lib.stride_tricks.sliding_window_view(flat, window)
+        same = (rows[starts[at]] == rows[starts[first[group[at]]]]).all(1)
+        n[np.unique(group[at[~same]])] = -1  # different windows share the hash
+    for g in np.flatnonzero(n > 1):
+        p = starts[first[g]]
+        yield tuple(flat[p:p + window].tolist())
+    clash = np.flatnonzero(n < 0)
+    if len(clash):
+        count: dict[tuple, int] = {}
+        for k in np.flatnonzero(np.isin(group, clash)):
+            w = tuple(flat[starts[k]:starts[k] + window].tolist())
+            count[w] = count.get(w, 0) + int(times[owner[starts[k]]])
+        yield from (w for w, c in count.items() if c > 1)
+
+
 def locate(group: list[tuple[bytes, bytes, int]], window: int) -> Iterator[tuple[bytes, int, int]]:
     """(sid, from, to) of the words in recurring windows of ``group``: (sid, words,
     occurrences) of distinct segments that hold all copies of their windows."""
     number: dict[bytes, int] = {}
-    segs = [tuple(number.setdefault(w, len(number) + 1) for w in seg.split(b" ")) for _, seg, _ in group]
-    count: dict[tuple, int] = {}
-    for s, (_, _, n) in zip(segs, group):
-        for i in range(len(s) - window + 1):
-            w = s[i:i + window]
-            count[w] = count.get(w, 0) + n
+    segs = [[number.setdefault(w, len(number) + 1) for w in seg.split(b" ")] for _, seg, _ in group]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for w, n in count.items():
-        if n > 1:
-            automaton.add_word(w, 1)
-    del count
+    for w in recurring([np.array(s, np.int64) for s in segs], np.array([n for _, _, n in group], np.int64), window):
+        automaton.add_word(w, 1)
     if not len(automaton):
         return
     automaton.make_automaton()
     for s, (sid, _, _) in zip(segs, group):
         lo = hi = -1
-        for end, _ in automaton.iter(s):
+        for end, _ in automaton.iter(tuple(s)):
             if end - window + 1 > hi:
                 if hi > 0:
                     yield sid, lo, hi
@@ -247,6 +275,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor
     are copies: from a window's length up they lose all words. An empty table gives no
     rows. Other columns are kept as they are; one named ``repeats`` is replaced."""
     key = F.unhex(F.substring(F.sha2(F.col(text), 256), 1, 32))
+    on_path(docs.sparkSession)
     spans = repeated_spans(docs.select(key.alias("key"), F.col(text).alias("text")), window, anchor, bits, hot)
 
     @F.pandas_udf("n_words long, n_removed long, kept string, kept_sha256 string")
@@ -267,6 +296,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor
             rows.append((n, n - len(words), kept, hashlib.sha256(joined).hexdigest()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "kept_sha256"])
 
-    spans = spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).hint("shuffle_hash")
-    joined = docs.withColumn("_key", key).join(spans, "_key", "left")
-    return joined.withColumn("repeats", keep(F.col(text), F.col("_spans"))).drop("_key", "_spans")
+    k, at = unused(docs, "_key", "_spans")
+    spans = spans.select(F.col("key").alias(k), F.col("spans").alias(at)).hint("shuffle_hash")
+    joined = docs.withColumn(k, key).join(spans, k, "left")
+    return joined.withColumn("repeats", keep(F.col(text), F.col(at))).drop(k, at)
