@@ -151,7 +151,7 @@ x as (select c.source, min((abs(gap - size), h, doc_id, size, copy)) b from c jo
   where e > rest and abs(gap - size) < gap group by c.source),
 f as (select c.*, gap, case when e <= rest then e
   when (h, doc_id, size, copy) is not distinct from (b[2], b[3], b[4], b[5]) then rest - gap + size end lst
-  from c join g on c.source is not distinct from g.source left join x on c.source is not distinct from x.source)
+  from c join g on c.source is not distinct from g.source left join x on c.source is not distinct from x.source),
 y as (select *, case when target > 0 then least(greatest(((case when passes >= 1 then e else lst end) - size / 2) / target, 0), 1) else 0 end y from f)
 select doc_id, size, source_size, target, ((passes + (lst is not null)::bigint) * size)::bigint taken,
  (passes + (lst is not null)::bigint)::bigint copies,
