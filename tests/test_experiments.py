@@ -207,3 +207,32 @@ def test_half_written_tables_are_not_read_and_go(spark, tmp_path):
     gone = de.drop_stale(spark, root, "t", [build()])
     assert len(gone) == 2 and de.load_or_derive(spark, root, "t", build)[1]
     assert not de.load_or_derive(spark, root, "t", lambda: build().where("id > 1"))[1]
+
+
+# --- M5 encodings, W5 rows --------------------------------------------------------------------
+
+def test_sparse_levels_of_many_levels(spark):
+    from wardlens.operators import features as ft
+    df = spark.range(100_000).select("id", F.concat(F.lit("v"), "id").alias("a"), F.when(F.col("id") % 2 == 0, "x").alias("b"))
+    got, table = ft.sparse_levels(df, "id", ["a", "b"])
+    assert table.count() == 100_001
+    last = table.where("col_name = 'b'").first()
+    assert (last["index"], last.level) == (100_000, "x")
+    assert got.where(F.size("indices") == 1 + (F.col("id") % 2 == 0).cast("int")).count() == 100_000
+    none, _ = ft.sparse_levels(spark.createDataFrame([(1, None)], "id int, a string"), "id", ["a"])
+    assert none.first().indices == []
+
+
+def test_family_flags_share_a_prefix(spark):
+    from wardlens.operators import features as ft
+    df = spark.createDataFrame([(1, "p", "q"), (2, "q", None), (3, None, None)], "id int, a string, b string")
+    assert rows_of(ft.onehot_family(df, ["a", "b"], "g")) == {1: (1, 1), 2: (0, 1), 3: (0, 0)}
+    with pytest.raises(KeyError):
+        ft.onehot_family(df, ["a", "z"], "g")
+
+
+def test_rows_are_justified_up_and_down(spark):
+    from wardlens.operators import project as pj
+    df = spark.createDataFrame([(1, None, "a"), (2, 5, None), (3, None, "b"), (4, 7, None)], "id int, x int, y string")
+    assert rows_of(pj.justify_rows(df, ["id"], ["x", "y"], "up")) == {1: (5, "a"), 2: (7, "b"), 3: (None, None), 4: (None, None)}
+    assert rows_of(pj.justify_rows(df, ["id"], ["x", "y"], "down")) == {1: (None, None), 2: (None, None), 3: (5, "a"), 4: (7, "b")}

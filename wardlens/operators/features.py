@@ -115,6 +115,36 @@ def onehot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence] |
     return out.drop(*cols) if drop_old else out
 
 
+def onehot_family(df: DataFrame, cols: Sequence[str], prefix: str, levels: Sequence | None = None, sep: str = "__",
+                  drop_old: bool = True) -> DataFrame:
+    """One ``prefix__level`` 0/1 column per level of a family of columns: 1 where any of them
+    holds it. Missing values give no flag."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise KeyError(f"columns not found: {missing}")
+    use = levels if levels is not None else sorted({x for xs in fit_levels(df, cols).values() for x in xs})
+    held = F.array(*[F.col(c).cast("string") for c in cols])
+    out = df.withColumn("_held", held)
+    out = out.withColumns({f"{prefix}{sep}{x}": F.coalesce(F.array_contains("_held", F.lit(str(x))), F.lit(False)).cast("int") for x in use}).drop("_held")
+    return out.drop(*cols) if drop_old else out
+
+
+def sparse_levels(df: DataFrame, key: str, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One-hot encoding without a column per level: (key, indices) with the sorted places of a
+    row's levels, and the table (index, col_name, level) that says what a place means. Places
+    number the levels of all columns by column and level from 0. Levels are ranked and joined as
+    tables, so their number is not bounded; a row has at most one place per column. Rows
+    without a level have no places."""
+    table = levels_table(df, cols)
+    table = ranks(table.withColumn("_o", F.concat("col_name", F.lit("\u0000"), "level")), ["_o"], (), "_n").select(
+        (F.col("_n") - 1).alias("index"), "col_name", "level")
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("level")) for c in cols]))
+    long = df.select(key, kv.alias("kv")).select(key, "kv.*").where(F.col("level").isNotNull()).join(table, ["col_name", "level"])
+    places = long.groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    out = df.select(key).join(places, key, "left")
+    return out.select(key, F.coalesce("indices", F.array().cast("array<bigint>")).alias("indices")), table
+
+
 def fit_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
     row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}

@@ -125,3 +125,24 @@ def trim_all(df: DataFrame) -> DataFrame:
     exprs = {f.name: F.btrim(F.col(f.name), F.lit(WHITESPACE))
              for f in df.schema.fields if isinstance(f.dataType, StringType)}
     return df.withColumns(exprs) if exprs else df
+
+
+def justify_rows(df: DataFrame, order: Sequence[str], cols: Sequence[str], side: str = "up") -> DataFrame:
+    """Each column's present values moved to the first (``up``) or last (``down``) rows in
+    ``order``, their own order kept; missing values fill the rest. ``order`` must be unique. Rows
+    and values are ranked with two levels of windows and meet by rank, so no task holds a column."""
+    from wardlens.operators.ranking import ranks
+    if side not in ("up", "down"):
+        raise ValueError(f"side must be 'up' or 'down', got {side!r}")
+    rows = ranks(df.drop(*cols), order, (), "_at")
+    kv = F.explode(F.array(*[F.struct(F.lit(i).alias("_col"), F.struct(*[(F.col(c) if j == i else F.lit(None).cast(df.schema[c].dataType)).alias(f"_v{j}")
+                                                                          for j, c in enumerate(cols)]).alias("_v")) for i in range(len(cols))]))
+    long = df.select(*order, kv.alias("_kv")).select(*order, "_kv._col", "_kv._v")
+    long = long.where(F.coalesce(*[F.col(f"_v._v{j}").cast("string") for j in range(len(cols))]).isNotNull())
+    placed = ranks(long, order, ["_col"], "_at")
+    if side == "down":
+        n = df.agg(F.count(F.lit(1)).alias("_n"))
+        have = long.groupBy("_col").agg(F.count(F.lit(1)).alias("_have"))
+        placed = placed.join(have, "_col").crossJoin(F.broadcast(n)).withColumn("_at", F.col("_at") + F.col("_n") - F.col("_have"))  # one row
+    wide = placed.groupBy("_at").agg(*[F.max(f"_v._v{j}").alias(c) for j, c in enumerate(cols)])
+    return rows.join(wide, "_at", "left").select(*df.columns)

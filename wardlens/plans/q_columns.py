@@ -362,3 +362,16 @@ def q_categorize_levels(spark, d):
                      "complaints"))
 def q_trim_all(spark, d):
     return pj.trim_all(fx.complaints(spark, d))
+
+
+def _justify_rows_sql(side):
+    place = "rk" if side == "up" else "rk + (select count(*) from spells) - count(*) over ()"
+    each = {c: f"(select {place} as pos, {c} as v from (select {c}, row_number() over (order by spell_id) rk from spells where {c} is not null) x)" for c in _JUSTIFY}
+    return ("select spell_id, " + ", ".join(f"{c}_.v {c}" for c in _JUSTIFY) + " from (select spell_id, row_number() over (order by spell_id) as pos from spells) r "
+            + " ".join(f"left join {sql} {c}_ using (pos)" for c, sql in each.items()))
+
+
+_JUSTIFY = ["urea_first", "resp_rate"]
+for _side in ("up", "down"):
+    query(f"justify_{_side}", fx.with_views(_justify_rows_sql(_side), "spells"))(
+        lambda spark, d, side=_side: pj.justify_rows(fx.spells(spark, d).select("spell_id", *_JUSTIFY), ["spell_id"], _JUSTIFY, side))

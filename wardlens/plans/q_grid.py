@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardlens.operators import derive as dv
@@ -13,6 +15,8 @@ from wardlens.plans import fixtures as fx
 from wardlens.plans import presets as ps
 from wardlens.plans import q_model as qm
 from wardlens.plans.registry import query
+from wardlens.session import scratch_path
+from wardlens.sources import read_table, write_table
 
 WITHIN = [1, 4, 7]
 N_RESAMPLES = 99
@@ -121,6 +125,17 @@ def q_experiment_grid(spark, d):
     return gr.cell_table(spark, CELLS, FEATURES).join(got, "cell").drop("cell")
 
 
+@query("sink_metrics_table", fx.with_views("select * from ev", "scores", extra=[
+    ("sc", "select substr(o_orderpriority, 1, 1) cell, label y, score from scores join orders on o_orderkey = spell_id"), *eval_ctes("cell")]))
+def q_sink_metrics_table(spark, d):
+    """Metrics of each segment, written as a table and read back."""
+    o = read_table(spark, d, "orders", ["o_orderkey", "o_orderpriority"])
+    s = fx.scores(spark, d).join(o, F.col("spell_id") == F.col("o_orderkey")).withColumn("cell", F.substring("o_orderpriority", 1, 1))
+    path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
+    write_table(gr.evaluate_cells(mt.score_table(s, "label", "score", group=["cell"]), ["cell"], 0.05), path)
+    return spark.read.parquet(path)
+
+
 @query("feature_set_grid", fx.with_views(" union all ".join(
     f"select '{s}' feature_set, {len(cols)} n_features, count(*) n, cast(count_if({' and '.join(f'{c} is not null' for c in cols)}) as bigint) n_complete, "
     f"round(avg({' + '.join(f'cast({c} is null as int)' for c in cols)}) / {len(cols)}, 6) missing_share from spells"

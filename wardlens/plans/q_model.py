@@ -232,6 +232,29 @@ def q_onehot(spark, d):
     return ft.onehot(s, ["gender", "specialty"])
 
 
+_FAMILY = ["<1.8", "5", "12", "20"]
+
+
+@query("onehot_family", v("select spell_id, " + ", ".join(
+    f"cast(coalesce(urea_first = '{x}', false) or coalesce(urea_last = '{x}', false) as int) \"urea__{x}\"" for x in _FAMILY) + " from spells", "spells"))
+def q_onehot_family(spark, d):
+    s = fx.spells(spark, d).select("spell_id", "urea_first", "urea_last")
+    return ft.onehot_family(s, ["urea_first", "urea_last"], "urea", _FAMILY)
+
+
+_SPARSE = ["admit_method", "gender", "specialty", "urea_first"]
+
+
+@query("onehot_sparse", v("select spell_id, coalesce(len(ix), 0)::int n_places, array_to_string(ix, ',') places from spells left join ("
+                          "select spell_id, list(idx order by idx) ix from kv join lv using (col_name, level) group by spell_id) p using (spell_id)", "spells", extra=[
+    ("kv", " union all ".join(f"select spell_id, '{c}' col_name, {c} as level from spells where {c} is not null" for c in _SPARSE)),
+    ("lv", "select col_name, level, row_number() over (order by col_name, level) - 1 idx from (select distinct col_name, level from kv) x")]))
+def q_onehot_sparse(spark, d):
+    got, _ = ft.sparse_levels(fx.spells(spark, d).select("spell_id", *_SPARSE), "spell_id", _SPARSE)
+    places = F.array_join(F.transform("indices", lambda i: i.cast("string")), ",")
+    return got.select("spell_id", F.size("indices").alias("n_places"), F.nullif(places, F.lit("")).alias("places"))
+
+
 @query("group_sum_by_prefix", v("select spell_id, cast(gender is not null as double) gender, cast(specialty is not null as double) specialty, "
                                 "coalesce(gender, '') levels_gender from spells", "spells"))
 def q_group_sum_by_prefix(spark, d):
