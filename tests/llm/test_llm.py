@@ -458,14 +458,14 @@ def test_gru_gradients_match_differences():
     net.w = {k: w.astype(np.float64) + rng.normal(0, 0.1, w.shape) for k, w in net.w.items()}
     x, y = rng.integers(0, 1024, (5, 3)), rng.integers(0, 1024, (5, 3))
     fresh = rng.random((5, 3)) < 0.3
-    h = rng.normal(0, 1, (3, 4))
+    h = rng.normal(0, 1, (4, 3))
 
     def loss():
         out = np.empty((5, 3, 4))
         s = h
         for t in range(5):
             s = net.forward(s, x[t:t + 1], fresh[t:t + 1])[0].astype(np.float64)
-            out[t] = s
+            out[t] = s.T
         return -net.predict(out.reshape(-1, 4), y.ravel())[0].mean()
     g, _ = net.gradients(h, x, fresh, y)
     for k, w in net.w.items():
@@ -494,8 +494,12 @@ def test_lm_scores(docs, docs_pdf, odd, none):
     tokens = {i: [*words(t.translate(low)), ""] for i, t in zip(docs_pdf.doc_id, docs_pdf.text)}
     n = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
     total, distinct = sum(n.values()), len(n)
-    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
-    got = lm.score(docs, train, frequent=500).toPandas().set_index("doc_id")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    train = docs.where(learn)
+    got = lm.score(docs, learn, frequent=500).toPandas().set_index("doc_id")
+    apart = lm.score(docs, train, frequent=500).toPandas().set_index("doc_id").loc[got.index]
+    assert (apart.base_score - got.base_score).abs().max() < 1e-9 and (apart.n_known == got.n_known).all()
+    assert abs(apart.score.sum() / got.score.sum() - 1) < 0.01
     assert len(got) == len(tokens) and set(got.train_tokens) == {total}
     for i, ws in tokens.items():
         r = got.loc[i]

@@ -12,8 +12,8 @@ the state carried on; every training document is used in one of ``rounds`` round
 round ``workers`` tasks stream their documents from the common weights, and the weights
 are averaged by symbols seen. The weights are some 80,000 numbers whatever the input.
 
-Scoring reads each whole document, windows one after the other with the state carried
-across them. Counts of the ``frequent`` most frequent words are broadcast (a fixed
+Words are looked up once; training and scoring read the symbols stored then. Scoring
+reads each whole document, windows one after the other with the state carried across them. Counts of the ``frequent`` most frequent words are broadcast (a fixed
 number of words of at most 64 bytes); all rarer words of a document meet their counts
 in a join.
 """
@@ -28,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.common import LOWER, stored
@@ -128,35 +128,44 @@ class Gru:
         return self
 
     def forward(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step: inputs and fresh (a document begins) are (step, lane)."""
-        k, u = self.hidden, self.w["u"]
-        xs = self.w["x"][inputs]
-        out = np.empty((*inputs.shape, k), xs.dtype)
-        any_fresh = fresh.any(1)
+        """States after each step: inputs and fresh (a document begins) are (step, lane),
+        states (step, unit, lane), so that a gate is one run of memory. With ``keep``, adds
+        the states before, the gates (z, r, n) and the candidates' recurrent part."""
+        k = self.hidden
+        # sigmoid(a) = 1 / (1 + exp(-a)) and tanh(a) = 1 - 2 / (1 + exp(2 a)): signs and factor go into the weights
+        scale = np.repeat(np.array([-1, -1, 2], np.float32), k)
+        u = np.ascontiguousarray((self.w["u"] * scale).T)
+        gates = np.ascontiguousarray((self.w["x"] * scale)[inputs].transpose(0, 2, 1))
+        out = np.empty((len(inputs), *h.shape), gates.dtype)
+        before, inner = (np.empty_like(out), np.empty_like(out)) if keep is not None else (None, None)
+        any_fresh = fresh.any(1).tolist()
+        hu = np.empty(gates.shape[1:], gates.dtype)
+        part = np.empty(h.shape, gates.dtype)
         for t in range(len(inputs)):
             if any_fresh[t]:
-                h = np.where(fresh[t][:, None], xs.dtype.type(0), h)
-            hu = h @ u
-            x = xs[t]
-            zr = x[:, :2 * k] + hu[:, :2 * k]
-            np.negative(zr, out=zr)
+                h = np.where(fresh[t], gates.dtype.type(0), h)
+            np.matmul(u, h, out=hu)
+            zr, n = gates[t, :2 * k], gates[t, 2 * k:]
+            zr += hu[:2 * k]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :k], zr[:, k:]
-            n = r * hu[:, 2 * k:]
-            n += x[:, 2 * k:]
-            n *= 2  # tanh(n) = 1 - 2 / (1 + exp(2 n))
+            np.multiply(zr[k:], hu[2 * k:], out=part)
+            n += part
             np.exp(n, out=n)
             n += 1
             np.divide(-2, n, out=n)
             n += 1
             if keep is not None:
-                keep.append((h, z, r, n, hu[:, 2 * k:]))
-            h = h - n
-            h *= z
-            h += n
-            out[t] = h
+                before[t], inner[t] = h, hu[2 * k:]
+            new = out[t]
+            np.subtract(h, n, out=new)
+            new *= zr[:k]
+            new += n
+            h = new
+        if keep is not None:
+            inner *= np.float32(0.5)
+            keep += [before, gates, inner]
         return out
 
     def predict(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
@@ -167,7 +176,7 @@ class Gru:
         c = target // MEMBERS
         order = np.argsort(c.astype(np.uint8), kind="stable")  # rows by class
         h, c, t = h[order], c[order], target[order] % MEMBERS
-        rows = np.arange(len(h))
+        rows, ones = np.arange(len(h)), np.ones(len(h), h.dtype)
         a = h @ self.w["c"]
         a += self.w["cb"]
         logp = a[rows, c]
@@ -179,27 +188,25 @@ class Gru:
             a /= s[:, None]
             a[rows, c] -= 1
             grads["c"] += h.T @ a
-            grads["cb"] += a.sum(0)
+            grads["cb"] += ones @ a
             dh = a @ self.w["c"].T
         edge = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
-        one = np.ones(MEMBERS, a.dtype)
-        for k in range(CLASSES):
-            i = slice(edge[k], edge[k + 1])
-            if i.start == i.stop:
-                continue
-            b = h[i] @ self.w["m"][k]
-            b += self.w["mb"][k]
-            at = rows[:i.stop - i.start], t[i]
-            logp[i] += b[at]
-            np.exp(b, out=b)
-            s = b @ one
-            logp[i] -= np.log(s)
-            if grads is not None:
-                b /= s[:, None]
-                b[at] -= 1
-                grads["m"][k] += h[i].T @ b
-                grads["mb"][k] += b.sum(0)
-                dh[i] += b @ self.w["m"][k].T
+        there = [(k, slice(edge[k], edge[k + 1])) for k in range(CLASSES) if edge[k] < edge[k + 1]]
+        b = np.empty((len(h), MEMBERS), a.dtype)
+        for k, i in there:
+            np.matmul(h[i], self.w["m"][k], out=b[i])
+            b[i] += self.w["mb"][k]
+        logp += b[rows, t]
+        np.exp(b, out=b)
+        s = b @ np.ones(MEMBERS, b.dtype)
+        logp -= np.log(s)
+        if grads is not None:
+            b /= s[:, None]
+            b[rows, t] -= 1
+            for k, i in there:
+                grads["m"][k] += h[i].T @ b[i]
+                grads["mb"][k] += ones[i] @ b[i]
+                dh[i] += b[i] @ self.w["m"][k].T
         back = np.empty_like(order)
         back[order] = rows
         return logp[back], None if dh is None else dh[back]
@@ -207,28 +214,34 @@ class Gru:
     def gradients(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, target: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean negative log-probability over a window, and the last state."""
         k, u = self.hidden, self.w["u"]
-        grads = {n: np.zeros_like(w) for n, w in self.w.items() if n != "x"}
+        grads = {n: np.zeros_like(w) for n, w in self.w.items() if n not in ("x", "u")}
         keep: list = []
         out = self.forward(h, inputs, fresh, keep)
-        _, d_out = self.predict(out.reshape(-1, k), target.ravel(), grads)
-        d_out = d_out.reshape(out.shape)
-        dx = np.empty((*inputs.shape, 3 * k), out.dtype)
+        before, gates, inner = keep
+        _, d_out = self.predict(out.transpose(0, 2, 1).reshape(-1, k), target.ravel(), grads)
+        d_out = np.ascontiguousarray(d_out.reshape(*inputs.shape, k).transpose(0, 2, 1))
+        z, r, n = gates[:, :k], gates[:, k:2 * k], gates[:, 2 * k:]
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (before - n) * z * (1 - z)
+        by_r = inner * r * (1 - r)
+        back = np.empty_like(gates)
+        d_n = np.empty_like(out)
         dh = np.zeros_like(out[0])
+        any_fresh = fresh.any(1).tolist()
         for t in range(len(inputs) - 1, -1, -1):
-            h, z, r, n, hn = keep[t]
-            dh = dh + d_out[t]
-            g = dx[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            g[:, :k] = dh * (h - n) * z * (1 - z)
-            g[:, k:2 * k] = dn * hn * r * (1 - r)
-            g[:, 2 * k:] = dn
-            back = g.copy()
-            back[:, 2 * k:] *= r
-            grads["u"] += h.T @ back
-            dh = dh * z + back @ u.T
-            if fresh[t].any():
-                dh[fresh[t]] = 0
-        flat, dx = inputs.ravel(), dx.reshape(-1, 3 * k)
+            dh += d_out[t]
+            dn = np.multiply(dh, by_n[t], out=d_n[t])
+            g = back[t]
+            np.multiply(dh, by_z[t], out=g[:k])
+            np.multiply(dn, by_r[t], out=g[k:2 * k])
+            np.multiply(dn, r[t], out=g[2 * k:])
+            dh *= z[t]
+            dh += u @ g
+            if any_fresh[t]:
+                dh[:, fresh[t]] = 0
+        grads["u"] = np.matmul(before, back.transpose(0, 2, 1)).sum(0)
+        back[:, 2 * k:] = d_n
+        flat, dx = inputs.ravel(), back.transpose(0, 2, 1).reshape(-1, 3 * k)
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         s, first = np.unique(flat[order], return_index=True)
         grads["x"] = np.zeros_like(self.w["x"])
@@ -290,35 +303,35 @@ def _parts(batch: list[np.ndarray], most: int = 2_500_000) -> Iterator[list[int]
         yield part
 
 
-def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hidden: int = 16, steps: int = 16,
-          width: int = 512, rounds: int = 2, rate: float = 0.01, stretch: int = 512, workers: int | None = None) -> np.ndarray:
-    """Weights after ``rounds`` rounds over ``docs``, each document in one of them.
+def train(docs: DataFrame, end: int, size: np.ndarray, hidden: int = 16, steps: int = 16, width: int = 512,
+          rounds: int = 2, rate: float = 0.01, stretch: int = 512, workers: int | None = None) -> np.ndarray:
+    """Weights after ``rounds`` rounds over ``docs`` (symbols as little-endian int16), each
+    document in one of them.
     Training carries the state through ``stretch`` symbols at most; scoring through all.
-    ``vocabulary``: a broadcast Vocabulary; ``size``: its symbols' counts."""
+    ``end``: the symbol of a document's end; ``size``: the symbols' counts."""
     sc = docs.sparkSession.sparkContext
     now = Gru(size, hidden).flat()
-    share = F.pmod(F.xxhash64(F.col(text)), F.lit(rounds))
+    share = F.pmod(F.xxhash64("symbols"), F.lit(rounds))
     for k in range(rounds):
         common = sc.broadcast(now)
 
         def learn(batches: Iterator[pa.RecordBatch], common=common) -> Iterator[pa.RecordBatch]:
-            voc = vocabulary.value
             net = Gru(size, hidden).load(common.value)
             m1 = {x: np.zeros_like(w) for x, w in net.w.items()}
             m2 = {x: np.zeros_like(w) for x, w in net.w.items()}
             seen, turn = 0, 0
             for batch in batches:
-                rows = [voc.symbols(tokens(t)) for t in batch.column(0).to_pylist()]
+                rows = [np.frombuffer(b, "<i2") for b in batch.column(0).to_pylist()]
                 for part in _parts(rows, 1_000_000):
                     # long documents in stretches, so that no lane is left alone
-                    own = [(int(rows[i][a - 1]) if a else voc.symbol[END], rows[i][a:a + stretch])
+                    own = [(int(rows[i][a - 1]) if a else end, rows[i][a:a + stretch])
                            for i in part for a in range(0, len(rows[i]), stretch)]
                     first, own = zip(*own)
                     total = sum(map(len, own))
-                    target, prev, fresh, _, load = lanes(own, int(np.clip(total // 2000, 8, width)), voc.symbol[END], first)
-                    h = np.zeros((len(load), hidden), np.float32)
+                    target, prev, fresh, _, load = lanes(own, int(np.clip(total // 2000, 8, width)), end, first)
+                    h = np.zeros((hidden, len(load)), np.float32)
                     for s, l in windows(load, steps):
-                        g, h = net.gradients(h[l], prev[s, l], fresh[s, l], target[s, l])
+                        g, h = net.gradients(h[:, l], prev[s, l], fresh[s, l], target[s, l])
                         turn += 1
                         seen += target[s, l].size
                         fix = np.float32(rate * np.sqrt(1 - 0.999 ** turn) / (1 - 0.9 ** turn))
@@ -334,7 +347,7 @@ def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hid
                     [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen),
                      pa.array(np.full(len(flat), seen, np.int64))], ["i", "w", "n"])
 
-        own = docs.where(share == k).select(text)
+        own = docs.where(share == k).select("symbols")
         got = own.coalesce(workers or sc.defaultParallelism).mapInArrow(learn, "i int, w double, n long")
         mean = got.groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()  # one row per weight
         if len(mean):
@@ -343,32 +356,33 @@ def train(docs: DataFrame, vocabulary, size: np.ndarray, text: str = "text", hid
     return now
 
 
-def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text: str = "text", hidden: int = 16,
+def score(docs: DataFrame, training: DataFrame | Column, id_col: str = "doc_id", text: str = "text", hidden: int = 16,
           steps: int = 32, width: int = 512, frequent: int = 200_000, buckets: int = 128, **fit) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score
     (smoothed word counts) and score (the model), both log10 probabilities of the text.
 
+    ``training``: documents to learn from, or a condition on ``docs`` that says which of
+    them (null: no); words are then looked up once for both.
     A null or word-less text is the end alone. With no training documents every word
     counts 0 and the model is near uniform. Repeated rows are scored alike, one by one;
     null ids are allowed; an empty table gives no rows. Other columns are not read."""
     sc = docs.sparkSession.sparkContext
-    counts = stored(word_counts(training, text), "word-counts")
+    within = isinstance(training, Column)
+    counts = stored(word_counts(docs.where(training) if within else training, text), "word-counts")
     voc = Vocabulary(counts, frequent, buckets)
-    shared = sc.broadcast(voc)
-    weights = sc.broadcast(train(training, shared, voc.size, text, hidden, **fit))
+    shared, end = sc.broadcast(voc), voc.symbol[END]
     size, kind = voc.size, docs.schema[id_col].dataType.simpleString()
     per_word, per_bucket = voc.total + 0.1 * (voc.distinct + 1), voc.bucket_n + 0.1 * (voc.bucket_v + 1)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
-        net = Gru(size, hidden).load(weights.value)
         symbol_of = voc.symbols(list(voc.index))
         base_of = np.log10((voc.count + 0.1) / per_word)
         own_of = np.log10((voc.count + 0.1) / per_bucket[voc.bucket])
         own_of[[voc.index[w] for w in voc.symbol if w in voc.index]] = 0.0
         for batch in batches:
-            rows, rest = [], []
-            for t in batch.column(2).to_pylist():
+            rows = []
+            for t in batch.column(3).to_pylist():
                 words = tokens(t)
                 at = np.fromiter(map(voc.index.get, words, repeat(-1)), np.int32, len(words))
                 there = at[at >= 0]
@@ -379,30 +393,44 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text: st
                     own = [words[i] for i in out.tolist()]
                     symbols[out] = voc.symbols(own)
                     rare.update(own)
-                rows.append(symbols)
-                rest.append((len(words), int(np.count_nonzero(voc.count[there])), float(base_of[there].sum()),
-                             float(own_of[there].sum()), list(rare), list(rare.values())))
+                rows.append((len(words), int(np.count_nonzero(voc.count[there])), float(base_of[there].sum()),
+                             float(own_of[there].sum()), list(rare), list(rare.values()), symbols.astype("<i2").tobytes()))
+            cols = list(zip(*rows)) or [[] for _ in range(7)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                 pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.binary())),
+                 pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.binary())],
+                ["doc_id", "row", "learn", "n_tokens", "known", "base", "own", "rare", "times", "symbols"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Gru(size, hidden).load(weights.value)
+        for batch in batches:
+            rows = [np.frombuffer(b, "<i2") for b in batch.column(6).to_pylist()]
             like = np.zeros(len(rows))
             for part in _parts(rows):
-                target, prev, fresh, doc, load = lanes([rows[i] for i in part], width, voc.symbol[END])
-                h = np.zeros((len(load), hidden), np.float32)
+                target, prev, fresh, doc, load = lanes([rows[i] for i in part], width, end)
+                h = np.zeros((hidden, len(load)), np.float32)
                 sums = np.zeros(len(part))
                 for s, l in windows(load, steps):
-                    out = net.forward(h[l], prev[s, l], fresh[s, l])
-                    logp, _ = net.predict(out.reshape(-1, hidden), target[s, l].ravel())
+                    out = net.forward(h[:, l], prev[s, l], fresh[s, l])
+                    logp, _ = net.predict(out.transpose(0, 2, 1).reshape(-1, hidden), target[s, l].ravel())
                     sums += np.bincount(doc[s, l].ravel(), logp, len(part))
                     h = out[-1]
                 like[part] = sums / np.log(10)
-            cols = list(zip(*rest)) or [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 pa.array(cols[2], pa.float64()), pa.array(np.array(cols[3], np.float64) + like), pa.array(cols[4], pa.list_(pa.binary())),
-                 pa.array(cols[5], pa.list_(pa.int64()))], ["doc_id", "row", "n_tokens", "known", "base", "own", "rare", "times"])
-
-    schema = (f"doc_id {kind}, row long, n_tokens long, known long, base double, own double, rare array<binary>, times array<long>")
-    numbered = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    got = stored(numbered.mapInArrow(read, schema), "lm-scores")
-    rare = got.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+            own = pa.array(batch.column(5).to_numpy(zero_copy_only=False) + like)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], own], ["doc_id", "row", "n_tokens", "known", "base", "own"])
+
+    def looked_up(df: DataFrame, doc: Column, learn: Column, label: str) -> DataFrame:
+        rows = df.select(doc.alias("doc_id"), F.monotonically_increasing_id().alias("row"), learn.alias("learn"), F.col(text).alias("text"))
+        return stored(rows.mapInArrow(look_up, f"doc_id {kind}, row long, learn boolean, n_tokens long, known long, base double, "
+                                               "own double, rare array<binary>, times array<long>, symbols binary"), label)
+
+    seen = looked_up(docs, F.col(id_col), F.coalesce(training, F.lit(False)) if within else F.lit(False), "lm-symbols")
+    taught = seen.where("learn") if within else looked_up(training, F.lit(None).cast(kind), F.lit(True), "lm-training")
+    weights = sc.broadcast(train(taught, end, size, hidden, **fit))
+    got = stored(seen.select("doc_id", "row", "n_tokens", "known", "base", "own", "symbols").mapInArrow(
+        read, f"doc_id {kind}, row long, n_tokens long, known long, base double, own double"), "lm-scores")
+    rare = seen.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     own_bucket = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(buckets)).cast("int") + 1
@@ -412,7 +440,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text: st
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(F.lit(0))).alias("known2"),
         F.sum(F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(per_word))).alias("base2"), F.sum(own).alias("own2"))
     zero = F.lit(0.0)
-    return got.drop("rare", "times").join(sums, "row", "left").select(
+    return got.join(sums, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
         F.lit(voc.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base2", zero)).alias("base_score"),
         (F.col("own") + F.coalesce("own2", zero)).alias("score"))

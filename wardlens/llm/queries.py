@@ -118,7 +118,7 @@ def op10_gated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model trained on nine tenths of them."""
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc(F.col("doc_id")) % 10 == 0
-    got = score(docs, docs.where(~held_out))
+    got = score(docs, ~held_out)
     return got.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
