@@ -72,6 +72,15 @@ def describe_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return names.join(per, "col_name", "left").select("col_name", F.size(lv).alias("n_levels"), F.array_join(lv, ",").alias("levels"))
 
 
+def level_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(col_name, level, pos, n): one row per level of each column, numbered from 1 in the
+    levels' order, with its count. No task holds all levels of a column."""
+    from wardlens.operators.ranking import ranks
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("level")) for c in cols]))
+    per = df.select(kv.alias("kv")).select("kv.*").where(F.col("level").isNotNull()).groupBy("col_name", "level").agg(F.count(F.lit(1)).alias("n"))
+    return ranks(per, ["level"], ["col_name"], "pos").select("col_name", "level", "pos", "n")
+
+
 def confusion(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """(y_true, y_pred, n, share of the true class); the share window runs over
     the 4-row count table only."""

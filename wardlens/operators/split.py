@@ -7,10 +7,13 @@ engine can repeat the assignment. Rows with a missing label are a class of their
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
-from wardlens.operators.ranking import ranks
+from wardlens.operators.ranking import bucket, ranks
 
 
 def _hash_key(key: str):
@@ -29,19 +32,41 @@ def ranked(df: DataFrame, key: str, label: str | None = None) -> DataFrame:
     return ranks(base, ["_h", key], [label] if label else [], "_rank").drop("_h")
 
 
+def nth_key(df: DataFrame, order: list[str], n_after: Callable[[Column], Column]) -> dict | None:
+    """The order columns of the first of the last ``n_after(number of rows)`` rows (nulls
+    first), ``order`` being unique; none if those are no rows.
+
+    Only counts are made of most rows: column by column, the bucket and then the value that
+    hold the row are found among their counts, and only rows with that value go on. A
+    column of days has few values and needs no buckets."""
+    found, rest, n = {}, df.select(*order), None
+    for o in order:
+        days = isinstance(rest.schema[o].dataType, DateType)
+        for part in ([F.col(o)] if days else [bucket(rest, o), F.col(o)]):
+            w = Window.orderBy(F.col("_v").asc_nulls_first())  # one row per bucket, or per value of one bucket
+            per = rest.groupBy(part.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.sum("_n").over(w))
+            total = F.sum("_n").over(Window.partitionBy())
+            per = per.withColumn("_at", total - n_after(total) + 1 if n is None else F.lit(n))
+            hit = per.where((F.col("_c") >= F.col("_at")) & (F.col("_c") - F.col("_n") < F.col("_at"))).first()
+            if hit is None:
+                return None
+            n = hit["_at"] - (hit["_c"] - hit["_n"])
+            rest = rest.where(part.eqNullSafe(F.lit(hit["_v"])))
+        found[o] = hit["_v"]
+    return found
+
+
 def time_split(df: DataFrame, order: list[str], test_size: float = 0.33) -> DataFrame:
-    """Unshuffled cut: the last ceil(test_size * n) rows in ``order`` are test. Only the
-    order columns are ranked; the first test row's key comes back and every row is
-    compared with it in place."""
-    keys = df.select(*order)
-    n = keys.count()
-    n_test = -(-int(round(test_size * n * 1e9)) // int(1e9)) if n else 0
-    first = ranks(keys, order, [], "_rank").where(F.col("_rank") == n - n_test + 1).first() if n_test else None
+    """Unshuffled cut: the last ceil(test_size * n) rows in ``order`` are test (nulls come
+    first). The first test row's key is found by counts, without a sort of the rows, and
+    every row is compared with it in place."""
+    first = nth_key(df, order, lambda n: F.ceil(F.round(F.lit(test_size) * n, 9)))
     if first is None:
         return df.withColumn("split", F.lit("train"))
-    test = F.lit(False)
+    test = F.lit(True)
     for o in reversed(order):
-        test = (F.col(o) > F.lit(first[o])) | ((F.col(o) == F.lit(first[o])) & (test if o != order[-1] else F.lit(True)))
+        after = F.col(o).isNotNull() if first[o] is None else F.coalesce(F.col(o) > F.lit(first[o]), F.lit(False))
+        test = after | (F.col(o).eqNullSafe(F.lit(first[o])) & test)
     return df.withColumn("split", F.when(test, "test").otherwise("train"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardlens.operators import derive as dv
 from wardlens.operators import profile as pf
+from wardlens.operators import sketches as sk
 from wardlens.operators.clean import topn_keep
 from wardlens.operators.ranking import exact_quantiles
 from wardlens.plans import common as cm
@@ -224,6 +225,21 @@ def q_describe_levels(spark, d):
     return pf.describe_levels(fx.spells(spark, d), _LEVEL_COLS)
 
 
+@query("level_rows", v("select *, row_number() over (partition by col_name order by level) pos from (" + " union all ".join(
+    f"select '{c}' col_name, {c} as level, count(*) n from spells where {c} is not null group by 2" for c in _LEVEL_COLS) + ") t", "spells"))
+def q_level_rows(spark, d):
+    return pf.level_rows(fx.spells(spark, d), _LEVEL_COLS)
+
+
+@query("sketch_counts", """select case when e.c = 0 then 'event_type' else 'value' end col_name, count(*) n_rows,
+ count(case when e.c = 0 then event_type else cast(value as varchar) end) n_present
+ from events, (select unnest([0, 1]) c) e group by 1""")
+def q_sketch_counts(spark, d):
+    """Counts of the merged sketches of each event type's rows (estimates are bounded in the tests)."""
+    e = read_table(spark, d, "events", ["event_type", "value"])
+    return sk.merge(sk.column_sketches(e, ["event_type", "value"], ["event_type"])).select("col_name", "n_rows", "n_present")
+
+
 @query("confusion_matrix", """select quality y_true, 1 - toxic y_pred, count(*) n,
  round(count(*) / sum(count(*)) over (partition by quality), 6) share from labels group by 1, 2""")
 def q_confusion_matrix(spark, d):
