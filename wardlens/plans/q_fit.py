@@ -14,6 +14,7 @@ from wardlens.plans import fixtures as fx
 from wardlens.plans import flows as fl
 from wardlens.plans import q_flows as qf
 from wardlens.plans.registry import query
+from wardlens.session import kept
 from wardlens.sources import read_table
 
 FEATURES = ["age", "female", "resp_rate", "sbp", "dbp", "urea_first"]
@@ -22,13 +23,14 @@ FEATURES = ["age", "female", "resp_rate", "sbp", "dbp", "urea_first"]
 def xy(spark, d):
     """Features + label (critical event within 4 days, CCU/HH1M, admission ward
     counted) on the clean cohort, split by admission time; missing values of both parts
-    take the training part's medians."""
+    take the training part's medians. The joined rows are written once: the cut, the
+    medians and every pass of a fit read them."""
     raw = fl.from_raw(fx.spells(spark, d))
     st = cm.stays(spark, d).select("spell_id", "path", "died_flag", "total_los")
     lab = dv.critical_event(F.col("died_flag"), F.col("total_los"), F.col("path"), 4, dv.CRITICAL_WARDS_H1, False)
     j = raw.join(st, "spell_id").select("spell_id", "admitted", *[F.col(c).cast("double").alias(c) for c in FEATURES],
                                         lab.cast("int").alias("label"))
-    s = sp.time_split(j, ["admitted", "spell_id"], 0.33)
+    s = sp.time_split(kept(j, "xy"), ["admitted", "spell_id"], 0.33)
     numbers = [c for c in FEATURES if c != "female"]
     return ft.impute_median(s, numbers, ft.fit_medians(s.where(F.col("split") == "train"), numbers))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on. AQE re-plans joins at run time: a side that
 # turns out smaller than the broadcast threshold after filtering is broadcast,
@@ -67,3 +68,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the checkpoint folder and read back: for a table that
+    many jobs read (statistics, folds, iterations), so that its joins run once. Lost
+    executors' work reads it again; it stays until the folder is cleaned."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
