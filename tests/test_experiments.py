@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_SMALL
 from wardlens.operators import grid as gr
 from wardlens.operators import metrics as mt
 from wardlens.operators import model as md
@@ -86,6 +87,43 @@ def test_grid_search_runs_with_five_folds(separable):
     assert len(got) == 2 and {r.reg_param: r.mean_ap for r in got}[0.01] > {r.reg_param: r.mean_ap for r in got}[50.0]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fits_read_rows_joined_once(spark):
+    from wardlens.plans import q_fit
+    plan = plan_of(q_fit.xy(spark, SF_SMALL))
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_fits_read_folds_ranked_once(spark, separable):
+    plan = plan_of(md.fold_rows(separable, "id", "y", ["a", "b"], 5))
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_class_weights_leave_the_rows_where_they_are(spark, separable):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = md.with_class_weight(separable, "y")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r.y, r.weight) for r in got.select("y", "weight").distinct().collect()} == {(0, 0.666667), (1, 2.0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_of_a_fit_hold_a_bounded_number_of_rows(spark):
+    got = md.spread(spark.range(0, 5000, 1, 2), 500)
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert sum(sizes) == 5000 and len(sizes) == 10 and max(sizes) <= 510
+
+
+def test_calibrated_scores_are_probabilities_in_the_right_order(separable):
+    got = md.calibrated_scores(separable, separable, "id", "y", ["a", "b"], 3).toPandas()
+    assert len(got) == 400 and got.score.between(0, 1).all()
+    assert got.score[got.label == 1].mean() > got.score[got.label == 0].mean() + 0.2
+
+
 # --- P9, M8, P18 preparation -----------------------------------------------------------
 
 @pytest.fixture(scope="module")

@@ -25,13 +25,22 @@ from pyspark.sql import functions as F
 
 from wardlens.operators import metrics as mt
 from wardlens.operators import split as sp
+from wardlens.session import kept
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Balanced weights n / (k n_c) as a column. Rows without a label cannot be fitted
-    and are left out."""
+    and are left out. The weights (one row per class) are broadcast: a join by label
+    would put each class's rows in one task."""
     w = sp.class_weights(df.where(F.col(label).isNotNull()), label).select(label, F.col("weight").alias(name))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)
+
+
+def spread(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` dealt evenly into tasks of about ``rows`` rows. Fits keep their input in
+    memory, wider than it is stored (a forest holds a count per tree for every row), and
+    read it once an iteration, task by task: so tasks are cut by rows, not by file size."""
+    return df.repartition(max(1, -(-df.count() // rows)))
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -68,35 +77,46 @@ def fit_and_score(train: DataFrame, test: DataFrame, key: str, label: str, featu
                   estimator: str = "logreg", params: dict | None = None) -> DataFrame:
     """Fit on ``train`` (balanced weights) and return (key, label, score) on ``test``."""
     est = ESTIMATORS[estimator](params or {}).setLabelCol(label).setFeaturesCol("features")
-    model = est.fit(assemble(with_class_weight(train, label), features))
+    model = est.fit(assemble(with_class_weight(spread(train.select(label, *features)), label), features))
     pred = model.transform(assemble(test, features))
     return pred.select(key, F.col(label).cast("int").alias("label"), positive_score(pred).alias("score"))
 
 
+def fold_rows(train: DataFrame, key: str, label: str, features: Sequence[str], k: int) -> DataFrame:
+    """(key, label, fold, features) of the stratified folds, for many fits: written
+    once, so that the ranking of the rows runs once, and spread."""
+    cols = dict.fromkeys([key, label, *features])
+    folds = kept(sp.stratified_kfold(train.select(*cols), key, label, k), "folds")
+    return assemble(spread(folds), features).select(key, label, "fold", "features")
+
+
 def calibrated_scores(train: DataFrame, test: DataFrame, key: str, label: str, features: Sequence[str],
                       k: int = 5, estimator: str = "logreg") -> DataFrame:
     """Isotonic calibration on cross-validated folds: per fold, fit on the other
     folds, fit an isotonic map on the held-out scores, calibrate the test scores;
     the result is the mean of the k calibrated scores. Held-out scores are reduced to
     one weighted row per distinct score before the isotonic fit, and the test rows are
-    scored by all folds in one pass, without joins."""
-    folds = sp.stratified_kfold(train.where(F.col(label).isNotNull()), key, label, k)
+    scored by all folds in one pass, without joins. The folds are made once and kept."""
+    folds = fold_rows(train.where(F.col(label).isNotNull()), key, label, features, k).persist()
     t = assemble(test, features).select(key, F.col(label).cast("int").alias("label"), "features")
     done: list[str] = []
-    for f in range(k):
-        fit_part = folds.where(F.col("fold") != f)
-        held = folds.where(F.col("fold") == f)
-        est = ESTIMATORS[estimator]({}).setLabelCol(label).setFeaturesCol("features")
-        model = est.fit(assemble(with_class_weight(fit_part, label), features))
-        h = model.transform(assemble(held, features))
-        h = h.select(F.col(label).cast("double").alias("y"), positive_score(h).alias("s"))
-        h = h.groupBy("s").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-        iso = IsotonicRegression(featuresCol="sv", labelCol="y", weightCol="w").fit(assemble(h, ["s"], "sv"))
-        t = model.transform(t)
-        t = t.select(key, "label", "features", *done, positive_score(t).alias("s"))
-        t = iso.transform(assemble(t, ["s"], "sv"))
-        t = t.select(key, "label", "features", *done, F.col("prediction").alias(f"p{f}"))
-        done.append(f"p{f}")
+    try:
+        for f in range(k):
+            fit_part = folds.where(F.col("fold") != f)
+            held = folds.where(F.col("fold") == f)
+            est = ESTIMATORS[estimator]({}).setLabelCol(label).setFeaturesCol("features")
+            model = est.fit(with_class_weight(fit_part, label))
+            h = model.transform(held)
+            h = h.select(F.col(label).cast("double").alias("y"), positive_score(h).alias("s"))
+            h = h.groupBy("s").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+            iso = IsotonicRegression(featuresCol="sv", labelCol="y", weightCol="w").fit(assemble(h, ["s"], "sv"))
+            t = model.transform(t)
+            t = t.select(key, "label", "features", *done, positive_score(t).alias("s"))
+            t = iso.transform(assemble(t, ["s"], "sv"))
+            t = t.select(key, "label", "features", *done, F.col("prediction").alias(f"p{f}"))
+            done.append(f"p{f}")
+    finally:
+        folds.unpersist()
     mean = sum(F.col(p) for p in done) / F.lit(float(k))
     return t.select(key, "label", mean.alias("score"))
 
@@ -122,12 +142,15 @@ def tune(train: DataFrame, label: str, features: Sequence[str], key: str, k: int
          parallelism: int = 2) -> DataFrame:
     """Grid search of logistic regression by cross-validated exact AP; folds are
     the stratified md5 folds. Returns one row per grid point with its mean AP."""
-    folds = with_class_weight(sp.stratified_kfold(train, key, label, k), label)
+    folds = with_class_weight(fold_rows(train, key, label, features, k), label).persist()
     lr = LogisticRegression(maxIter=30, weightCol="weight", labelCol=label, featuresCol="features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.elasticNetParam, list(elastic)).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=AveragePrecisionEvaluator(labelCol=label),
                         numFolds=k, foldCol="fold", parallelism=parallelism, seed=42)
-    model = cv.fit(assemble(folds, features))
+    try:
+        model = cv.fit(folds)
+    finally:
+        folds.unpersist()
     rows = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
             for pm, m in zip(grid, model.avgMetrics, strict=True)]
     return train.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, mean_ap double")
@@ -175,9 +198,9 @@ def successive_halving(train: DataFrame, label: str, features: Sequence[str], ke
     The history has a row per rung and point: rung, share, point, params, mean_ap, kept.
     Rows without a label take no part. Ties go to the earlier point."""
     spark = train.sparkSession
-    folds = sp.stratified_kfold(train.where(F.col(label).isNotNull()), key, label, k)
+    folds = fold_rows(train.where(F.col(label).isNotNull()), key, label, features, k)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("rung|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    data = assemble(folds.withColumn("_u", draw), features).select(key, label, "fold", "_u", "features").persist()
+    data = folds.withColumn("_u", draw).persist()
     alive, history, best = list(range(len(points))), [], None
     try:
         for rung, (share, n) in enumerate(halving_plan(len(points), keep, smallest)):
