@@ -239,3 +239,21 @@ def test_neighbours_of_nothing_and_of_few(spark):
     two = [(0, [1.0, 0.0], 1), (7, [1.0, 1.0], 1)]
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(frame(spark, two)).collect()] == [(0, 1, 7)]
     assert neighbours.nearest(frame(spark, two[1:])).count() == 0
+
+
+def test_neighbour_probes_do_not_follow_the_number_of_rows(spark, monkeypatch):
+    seen, plain = [], neighbours.sketched
+    monkeypatch.setattr(neighbours, "sketched", lambda rows, tables, hashes, probes: (seen.append(probes), plain(rows, tables, hashes, probes))[1])
+    rng = np.random.default_rng(5)
+    for n in (60, 600):
+        neighbours.nearest(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(rng.standard_normal((n, 64)))]))
+    assert seen[:2] == seen[2:]
+
+
+def test_neighbour_recall_of_a_small_table(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((20, 64)), 20, axis=0) + 0.9 * rng.standard_normal((400, 64))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    pairs = {(i, j) for (i, _), near in brute_nearest(rows, 20, 5).items() for _, j in near}
+    found = {(r.query_id, r.vec_id) for r in neighbours.nearest(frame(spark, rows), every=20, k=5).collect()}
+    assert len(found & pairs) >= 0.9 * len(pairs)

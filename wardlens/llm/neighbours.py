@@ -4,8 +4,9 @@ A unit vector, padded with zeros to a power of two, goes through three rounds of
 sign flips and Hadamard transforms, a fast stand-in for a random rotation; its hash is
 the nearest of the 2d signed axes. A key joins ``hashes`` of them, and there are
 ``tables`` keys. A row enters one bucket a table. A query also probes the buckets of its
-next nearest axes: ``probes`` a table, and more in tables so small that it would meet
-fewer than about ``least`` rows.
+next nearest axes: ``probes`` a table, whatever the number of rows. (``least`` above 0
+asks for more in tables so small that a query would meet fewer than about that many rows;
+what is found then depends on the table's size.)
 
 Equal vectors are one class. What meets in the buckets is a class's sketch: the unit
 vector in 16-bit steps, with the exact length of what the rounding left. So each
@@ -174,7 +175,7 @@ def cosines(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def nearest(vecs: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", tables: int = 4,
-            hashes: int = 1, probes: int = 16, least: int = 4000, hot: int = 4096, chunk: int = 20_000) -> DataFrame:
+            hashes: int = 1, probes: int = 24, least: int = 0, hot: int = 4096, chunk: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``
     the ``k`` other vectors found with the largest cosine, nearest first, ties to the
     smaller id; all that were found if they are fewer.
